@@ -21,7 +21,7 @@ from .common import materialise, read_table
 
 #: Rows in a block, and rows that a hash range should hold.
 BLOCK_ROWS = 64
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 SEED = "mix-1"
 
 #: The fold: at each slot, of the sources whose next block is released, the one
