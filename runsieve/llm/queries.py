@@ -1,9 +1,11 @@
 """The registered queries of this subpackage, and DuckDB SQL where SQL can express them."""
 
-from . import mixing
+from . import mixing, quality, toxicity
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
+    "op2_quality": quality.op2_quality,
+    "op4_toxicity": toxicity.op4_toxicity,
 }
 
 ORACLE_SQL = {
