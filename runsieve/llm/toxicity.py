@@ -28,7 +28,7 @@ LABELLED_ROWS, N_TERMS, NEIGHBOURS, BLOCK = 20_000, 512, 15, 64
 #: A word must stand in so many toxic examples, plus this share of them.
 MIN_SUPPORT, SUPPORT_SHARE = 3, 0.002
 #: and in a share of the toxic examples that is so many times its share of the others.
-MIN_LIFT = 6.0
+MIN_LIFT = 20.0
 
 WORD = r"[^\W\d_]+"
 
@@ -136,11 +136,11 @@ def _weigh(terms, counts, idf):
     return terms, w / np.sqrt((w**2).sum()) if len(terms) else w
 
 
-def _evidence(sims, labels):
-    """What the calibration sees: the weighted vote, and how near the voters are."""
+def _evidence(sims, labels, n_words):
+    """What the calibration sees: the weighted vote, how near the voters are, and on how many words they rest."""
     weight = 1.0 / (1.05 - sims)
-    vote, near = float((weight * labels).sum() / weight.sum()), float(sims.mean())
-    return vote, near, vote * near
+    vote, near, words = float((weight * labels).sum() / weight.sum()), float(sims.mean()), float(np.log1p(n_words))
+    return vote, near, vote * near, words, vote * words
 
 
 class NearestExamples:
@@ -156,14 +156,14 @@ class NearestExamples:
         at, sims = self.index.top(t, w, k)
         if not len(at):
             return self.empty_rate, at, sims
-        x = np.array([1.0, *_evidence(sims, self.index.labels[at])])
+        x = np.array([1.0, *_evidence(sims, self.index.labels[at], len(t))])
         return float(1 / (1 + np.exp(-(x @ self.coefficients)))), at, sims
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray, prior: float) -> np.ndarray:
     """Logistic regression with a little shrinkage, by Newton steps."""
-    start = np.array([np.log(prior / (1 - prior)), 0, 0, 0])
-    beta, keep = start.copy(), np.diag([0.1, 0.1, 0.1, 0.1])
+    start = np.array([np.log(prior / (1 - prior)), 0, 0, 0, 0, 0])
+    beta, keep = start.copy(), 0.1 * np.eye(len(start))
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         grad = x.T @ (p - y) + keep @ (beta - start)
@@ -179,17 +179,23 @@ def fit_and_vectors(docs: DataFrame, labels: DataFrame) -> tuple[NearestExamples
     """The fitted operator, and (doc_id, terms, counts) of all documents.
 
     Learns from at most LABELLED_ROWS labels with doc_id outside the held-out
-    fifth; a document with several labels counts with the highest.
+    fifth; a document with several labels, or a text with several documents,
+    counts once with the highest label.
     """
     own = labels.filter(~held_out() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("_y"))
     own = own.orderBy(F.xxhash64(F.lit("toxic"), "doc_id"), "doc_id").limit(LABELLED_ROWS)
-    own = materialise(own, "toxic_sample")
     docs = docs.select("doc_id", "text")
-    sample = docs.join(F.broadcast(own), "doc_id").select("text", "_y")  # at most LABELLED_ROWS labels
+    sample = docs.join(F.broadcast(own), "doc_id")  # at most LABELLED_ROWS labels
+    # Copies of one text are one example, or its words would look telling.
+    sample = sample.groupBy(F.md5(F.coalesce("text", F.lit(""))).alias("_h")).agg(
+        F.min("doc_id").alias("doc_id"), F.max("_y").alias("_y"), F.max("text").alias("text")
+    )
+    sample = materialise(sample.select("doc_id", "text", "_y"), "toxic_sample")
+    own = sample.select("doc_id", "_y")
     n = own.groupBy("_y").count().collect()
     n_toxic = sum(r["count"] for r in n if r["_y"] == 1)
     n_clean = sum(r["count"] for r in n if r["_y"] == 0)
-    counts = sample.mapInArrow(_class_counts, "term string, toxic long, clean long").groupBy("term")
+    counts = sample.select("text", "_y").mapInArrow(_class_counts, "term string, toxic long, clean long").groupBy("term")
     counts = counts.agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     lift = ((F.col("a") + 0.5) / (n_toxic + 1)) / ((F.col("b") + 0.5) / (n_clean + 1))
     counts = counts.withColumn("gain", F.col("a") * F.ln(lift))
@@ -221,9 +227,9 @@ def fit_and_vectors(docs: DataFrame, labels: DataFrame) -> tuple[NearestExamples
     for r, (t, w) in zip(rows, weighed, strict=True):
         at, sims = index.top(t, w, NEIGHBOURS, leave_out=r["doc_id"])
         if len(at):
-            x.append([1.0, *_evidence(sims, index.labels[at])])
+            x.append([1.0, *_evidence(sims, index.labels[at], len(t))])
             y.append(r["_y"])
-    coefficients = _calibrate(np.array(x).reshape(-1, 4), np.array(y, float), prior)
+    coefficients = _calibrate(np.array(x).reshape(-1, 6), np.array(y, float), prior)
     return NearestExamples(vocabulary, idf, index, prior, empty_rate, coefficients), vectors
 
 
