@@ -1,16 +1,18 @@
 """The registered queries of this subpackage, and DuckDB SQL where SQL can express them."""
 
-from . import minhash, mixing, pieces, quality, tokenfile, toxicity
+from . import minhash, mixing, pieces, quality, tokenfile, toxicity, warc
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
     "op2_quality": quality.op2_quality,
     "op3_tokens": tokenfile.op3_tokens,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op6_warc": warc.op6_warc,
     "op9_minmax": minhash.op9_minmax,
     "op10_pieces": pieces.op10_pieces,
 }
 
 ORACLE_SQL = {
     "op1_mix": mixing.ORACLE,
+    "op6_warc": warc.ORACLE,
 }
