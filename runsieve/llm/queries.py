@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and DuckDB SQL where SQL can express them."""
 
-from . import minhash, mixing, pieces, quality, tokenfile, toxicity, warc
+from . import minhash, mixing, pieces, quality, tokenfile, toxicity, vectors, warc
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_tokens": tokenfile.op3_tokens,
     "op4_toxicity": toxicity.op4_toxicity,
     "op6_warc": warc.op6_warc,
+    "op7_vectors": vectors.op7_vectors,
     "op9_minmax": minhash.op9_minmax,
     "op10_pieces": pieces.op10_pieces,
 }
