@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and DuckDB SQL where SQL can express them."""
 
-from . import minhash, mixing, pieces, quality, tokenfile, toxicity, vectors, warc
+from . import licenses, minhash, mixing, pieces, quality, tokenfile, toxicity, vectors, warc
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op6_warc": warc.op6_warc,
     "op7_vectors": vectors.op7_vectors,
+    "op8_licenses": licenses.op8_licenses,
     "op9_minmax": minhash.op9_minmax,
     "op10_pieces": pieces.op10_pieces,
 }
