@@ -1,12 +1,13 @@
 """The registered queries of this subpackage, and DuckDB SQL where SQL can express them."""
 
-from . import licenses, minhash, mixing, pieces, quality, tokenfile, toxicity, vectors, warc
+from . import licenses, minhash, mixing, pieces, quality, search, tokenfile, toxicity, vectors, warc
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
     "op2_quality": quality.op2_quality,
     "op3_tokens": tokenfile.op3_tokens,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_search": search.op5_search,
     "op6_warc": warc.op6_warc,
     "op7_vectors": vectors.op7_vectors,
     "op8_licenses": licenses.op8_licenses,
