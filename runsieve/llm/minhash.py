@@ -10,8 +10,9 @@ found in two steps, neither of which lists the pairs of a band:
 
 1. stars: every class of a band against the band's smallest one;
 2. bands whose members still lie in different components are compared inside, in
-   tiles of TILE members, by their signatures; only pairs across components
-   whose signatures could belong to a link come out.
+   tiles of TILE members; pairs across components whose signatures could belong
+   to a link are confirmed there, and of the links found those that span the
+   tile's components come out.
 
 All candidates are confirmed on full shingle sets, in integers.
 """
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, mix64, read_table, text_bytes
+from .common import Forest, connected_components, materialise, mix64, read_table, text_bytes
 
 N_HASHES, ROWS, BANDS = 65, 5, 26
 SHINGLE_WORDS, PERCENT = 5, 80
@@ -166,30 +167,68 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.select("a", "b", "sa", "sb").mapInArrow(_linked(percent), "a long, b long")
 
 
+def _tile_links(rows: dict, percent: int) -> list[tuple[int, int]]:
+    """Links across components within one tile of a band, thinned to those that span them.
+
+    A pair is looked at only in the first band that both hold.  Pairs that their
+    sizes and signatures leave open are confirmed on full sets: few one by one,
+    many by products of the sets' incidence matrix.
+    """
+    side, comp, n, sig, bands = (rows[c] for c in ("side", "comp", "n", "sig", "bands"))
+    diagonal = side[0] == 2
+    left = np.flatnonzero(side != 1)
+    right = left if diagonal else np.flatnonzero(side == 1)
+    xs, ys = [], []
+    for x in left:
+        y = right[right > x] if diagonal else right
+        y = y[comp[y] != comp[x]]
+        y = y[100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])]
+        y = y[(sig[y] == sig[x]).sum(1) >= MIN_AGREE] if len(y) else y
+        if len(y):
+            y = y[bands[x][(bands[y] == bands[x]).argmax(1)] == rows["band"]]
+            xs.append(np.full(len(y), x))
+            ys.append(y)
+    if not xs:
+        return []
+    x, y = np.concatenate(xs), np.concatenate(ys)
+    used, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    x, y = at[: len(x)], at[len(x) :]
+    sets = [np.frombuffer(rows["s"][k], np.uint64) for k in used]
+    size = np.array([len(s) for s in sets])
+    if len(x) <= 4 * len(used):
+        both = np.array([size[a] + size[b] - len(np.unique(np.concatenate([sets[a], sets[b]]))) for a, b in zip(x, y, strict=True)])
+    else:
+        column = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        row = np.repeat(np.arange(len(used)), size)
+        order = np.argsort(column, kind="stable")
+        column, row = column[order], row[order]
+        shared = np.zeros((len(used), len(used)), np.float32)
+        for lo in range(0, int(column[-1]) + 1, 4096):
+            part = slice(*np.searchsorted(column, [lo, lo + 4096]))
+            m = np.zeros((len(used), 4096), np.float32)
+            m[row[part], column[part] - lo] = 1
+            shared += m @ m.T
+        both = shared[x, y].astype(np.int64)
+    hit = 100 * both >= percent * (size[x] + size[y] - both)
+    forest, out = Forest(), []
+    ids = rows["id"][used]
+    for a, b in zip(ids[x[hit]].tolist(), ids[y[hit]].tolist(), strict=True):
+        if forest.join(a, b):
+            out.append((min(a, b), max(a, b)))
+    return out
+
+
 def _across(percent: int):
-    """Within each tile of a band, pairs of different components whose signatures may be linked.
+    """_tile_links of every tile; rows come sorted by (band, i, j).
 
-    Rows come sorted by (band, i, j); side is 0, 1, or 2 on the diagonal, where
-    both sides are the same rows.
+    side is 0, 1, or 2 on the diagonal, where both sides are the same rows.
     """
 
-    def tile(rows):
-        side = rows["side"]
-        diagonal = side[0] == 2
-        left = np.flatnonzero(side != 1)
-        right = left if diagonal else np.flatnonzero(side == 1)
-        sig = np.stack([np.frombuffer(x, np.uint8) for x in rows["sig"]])
-        out_a, out_b = [], []
-        for x in left:
-            y = right[right > x] if diagonal else right
-            y = y[(rows["comp"][y] != rows["comp"][x])]
-            n, m = rows["n"][x], rows["n"][y]
-            y = y[100 * np.minimum(n, m) >= percent * np.maximum(n, m)]
-            y = y[(sig[y] == sig[x]).sum(1) >= MIN_AGREE] if len(y) else y
-            u, v = rows["id"][x], rows["id"][y]
-            out_a.append(np.minimum(u, v))
-            out_b.append(np.maximum(u, v))
-        return np.concatenate(out_a or [np.zeros(0, np.int64)]), np.concatenate(out_b or [np.zeros(0, np.int64)])
+    def columns(t):
+        out = {c: t.column(c).to_numpy() for c in ("side", "comp", "n", "id")}
+        out["bands"] = t.column("bands").combine_chunks().flatten().to_numpy().reshape(t.num_rows, BANDS)
+        out["sig"] = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+        return out | {"s": np.array(t.column("s").to_pylist(), object)}
 
     def groups(batches):
         held = None
@@ -200,31 +239,24 @@ def _across(percent: int):
             cut = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
             start = 0
             if len(cut):
-                whole = held.slice(0, cut[-1])
-                cols = {c: whole.column(c).to_numpy() for c in ("side", "comp", "n", "id")}
-                cols["sig"] = np.array(whole.column("sig").to_pylist(), object)
+                cols = columns(held.slice(0, cut[-1]))
                 for end in cut:
                     if end - start > 1:
-                        yield {c: v[start:end] for c, v in cols.items()}
+                        yield {c: v[start:end] for c, v in cols.items()} | {"band": key[0, start]}
                     start = end
                 held = held.slice(start)
         if held is not None and held.num_rows > 1:
-            cols = {c: held.column(c).to_numpy() for c in ("side", "comp", "n", "id")}
-            cols["sig"] = np.array(held.column("sig").to_pylist(), object)
-            yield cols
+            yield columns(held) | {"band": held.column("band")[0].as_py()}
 
     def run(batches):
-        a, b, n = [], [], 0
+        found: list = []
         for rows in groups(batches):
-            x, y = tile(rows)
-            a.append(x)
-            b.append(y)
-            n += len(x)
-            if n > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-                a, b, n = [], [], 0
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+            found += _tile_links(rows, percent)
+            if len(found) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+                found = []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
     return run
 
@@ -271,7 +303,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
     where = met.join(first, "id", "left").select("band", "id", "m", F.coalesce("component", "id").alias("comp"))
     where = materialise(where, "minhash_where")
     mixed = where.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("band")
-    inside = where.join(mixed, "band", "left_semi").join(reps.select("id", "n", "sig"), "id")
+    inside = where.join(mixed, "band", "left_semi").join(reps, "id")
+    inside = inside.join(sets.withColumnRenamed("doc_id", "id"), "id")
     tiles = F.ceil(F.col("m") / TILE).cast("int")
     inside = inside.withColumn("t", tiles).withColumn("c", F.pmod(F.xxhash64("id"), F.col("t")).cast("int"))
     inside = inside.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
@@ -284,10 +317,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
         "n",
         "comp",
         "sig",
+        "bands",
+        "s",
     )
     inside = inside.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    more = inside.mapInArrow(_across(percent), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
-    more = _confirm(materialise(more, "minhash_more"), sets, percent)
+    more = inside.mapInArrow(_across(percent), "a long, b long")
     links = materialise(links.unionByName(more), "minhash_links")
 
     # Repeated ids with different sets tie their classes together.
