@@ -231,9 +231,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> R
 
 
 def _scored(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
-    """docs with its columns renamed in_0, in_1, ... and _score."""
+    """docs with its columns renamed in_0, in_1, ... and _score.
+
+    _score is bound to the row's number, which keeps filters on it above this
+    projection: pushed below, they would compute the statistics anew for each rule.
+    """
     named = docs.select(*[F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(docs.columns)])
-    return with_stats(named, f"in_{docs.columns.index('text')}").withColumn("_score", model.score())
+    return with_stats(named, f"in_{docs.columns.index('text')}").withColumn(
+        "_score", F.when(F.monotonically_increasing_id() >= 0, model.score())
+    )
 
 
 def _own(docs: DataFrame, leave_out: tuple = ()) -> list[Column]:
