@@ -23,19 +23,28 @@ _HEAD = 8192
 def result_files(spark: SparkSession, *paths: str) -> DataFrame:
     """(origin, content) of result files: folders are searched for *.xml at any depth, files and globs are read as they are.
 
-    Each file stands once, however many paths reach it.
+    Each file stands once, however many paths reach it.  The binary reader leaves
+    out files of zero bytes; these come from the listing.
     """
-    found = None
+    found, bare = spark.createDataFrame([], "origin string, content binary"), []
+    conf = spark._jsc.hadoopConfiguration()
     for path in paths:
-        plain = any(c in path for c in "*?[{") or path.rstrip("/").rsplit("/", 1)[-1].count(".")
-        reader = spark.read.format("binaryFile")
-        if not plain:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(conf)
+        reader, folder = spark.read.format("binaryFile"), fs.exists(at) and fs.getFileStatus(at).isDirectory()
+        if folder:
             reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.xml")
-        part = reader.load(path).select(F.col("path").alias("origin"), "content")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "origin string, content binary")
-    return found if len(paths) == 1 else found.dropDuplicates(["origin"])
+            files, listed = fs.listFiles(at, True), []
+            while files.hasNext():
+                listed.append(files.next())
+            listed = [f for f in listed if f.getPath().getName().endswith(".xml")]
+        else:
+            listed = list(fs.globStatus(at) or [])
+        bare += [(f.getPath().toString(), bytearray()) for f in listed if f.getLen() == 0]
+        found = found.unionByName(reader.load(path).select(F.col("path").alias("origin"), "content"))
+    if bare:
+        found = found.unionByName(spark.createDataFrame(bare, "origin string, content binary"))
+    return found.dropDuplicates(["origin"])
 
 
 def _said(value: str | None) -> str | None:
