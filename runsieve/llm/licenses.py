@@ -111,6 +111,17 @@ def align(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _dense(pairs: list, share: float) -> list:
+    """pairs without loose ends, until they are so large a share of the text's words that they span."""
+    lo, hi = 0, len(pairs)
+    while hi - lo > 1 and hi - lo < share * (pairs[hi - 1][0] - pairs[lo][0] + 1):
+        if pairs[lo + 1][0] - pairs[lo][0] >= pairs[hi - 1][0] - pairs[hi - 2][0]:
+            lo += 1
+        else:
+            hi -= 1
+    return pairs[lo:hi]
+
+
 class Scanner:
     """Templates made ready for scanning whole texts."""
 
@@ -159,7 +170,7 @@ class Scanner:
                     if (lo, hi) == done or hi <= lo:
                         continue
                     done = (lo, hi)
-                    pairs = align(words[lo:hi], template)
+                    pairs = _dense(align(words[lo:hi], template), self.coverage)
                     if pairs and len(pairs) >= self.coverage * n and (best is None or len(pairs) > best[1]):
                         best = (name, len(pairs), lo + pairs[0][0], lo + pairs[-1][0])
                     if best and best[1] == n:
@@ -200,7 +211,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
     """(doc_id, license, coverage, n_aligned, first_word, last_word, licenses): a row for each row of docs.
 
     licenses: every template of which at least the share `coverage` of its words
-    aligns round one place of the whole text, with that place in words; the
+    aligns round one place of the whole text, and as large a share of the words
+    of that place with it; the
     other columns repeat the one with the most aligned words (then the largest
     coverage, then the first name), null where there is none, as for null and
     empty texts.  Templates without words are left out.  Other columns of docs

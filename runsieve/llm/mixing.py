@@ -153,9 +153,10 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows of docs, in the order of the mixed stream (rows of one id stand together)."""
     place = mix(docs).groupBy("id").agg(F.min("position").alias("position"))
-    keyed = docs.join(place, docs["doc_id"].eqNullSafe(place["id"]))
-    ordered = keyed.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
-    return ordered.select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    keyed = rows.join(place, F.col("row.doc_id").eqNullSafe(F.col("id")))
+    ordered = keyed.repartitionByRange("position", "id").sortWithinPartitions("position", "id")
+    return ordered.select("row.*")
 
 
 #: The same in DuckDB: the schedule of one period by a recursive query.
