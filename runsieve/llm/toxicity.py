@@ -298,11 +298,28 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are not predicted to be toxic.
+def _clean_rows(model: NearestExamples):
+    """The rows of a batch whose whole texts are not predicted to be toxic."""
+    find, get = re.compile(WORD).findall, model.vocabulary.get
 
-    The decision is by text: rows that share an id go together if one is toxic.
-    """
-    scored = score_toxicity(docs, read_table(spark, sf_dir, "labels"))
-    toxic = scored.filter("predicted = 1").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(toxic, docs["doc_id"] == toxic["_id"], "left_anti")
+    def run(batches):
+        known: dict = {}
+        for batch in batches:
+            keep = []
+            for text in batch.column("text").to_pylist():
+                hits = Counter(t for t in map(get, find(text.lower())) if t is not None) if text else {}
+                key = tuple(sorted(hits.items()))
+                if key not in known:
+                    if len(known) > 100_000:
+                        known.clear()
+                    known[key] = model.judge([t for t, _ in key], [n for _, n in key])[0] < 0.5
+                keep.append(known[key])
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that are not predicted to be toxic; each row is judged by its own text, where it lies."""
+    model, _ = fit_and_vectors(docs, read_table(spark, sf_dir, "labels"))
+    return docs.mapInArrow(_clean_rows(model), docs.schema)
