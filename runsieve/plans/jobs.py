@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..functions import text
 from ..operators import history, identity, metrics, policy
 from ..sources import diff as diffs
 from ..sources import junit
@@ -146,3 +147,30 @@ def apply_policy(store: Store, decided: DataFrame, now: datetime.datetime, confi
 
 def stats(store: Store) -> tuple[DataFrame, DataFrame]:
     return metrics.call_totals(store.table("calls")), metrics.classification_totals(store.table("classifications"))
+
+
+def triage(store: Store, found: DataFrame, proposer=None, config: Config = Config(), now: datetime.datetime | None = None) -> DataFrame:
+    """Causes for the detections that need one, kept in the store; without a proposer, the keyword guesses."""
+    from ..operators import causes  # detection and policy never need it
+
+    todo = history.needs_cause(found)
+    if proposer is None:
+        out = causes.keyword_classification(todo)
+        nothing = F.array().cast("array<string>")
+        out = out.withColumns({"reasoning": F.lit(""), "evidence": nothing, "suggested_action": F.lit(""), "cache_hit": F.lit(False)})
+    else:
+        out = causes.propose(todo, proposer, config.cause, store.table("replies")).cache()
+        store.append("replies", causes.keep_replies(out).dropDuplicates(["context_key"]))
+    number = (store.table("classifications").agg(F.max("event_no")).first()[0] or 0) + 1
+    rows = out.withColumns({"run_pk": F.lit(None).cast("string"), "event_no": F.lit(number).cast("long"), "ingest_date": F.current_date()})
+    store.append("classifications", rows)
+    return store.table("classifications").filter(F.col("event_no") == number)
+
+
+def evaluate(examples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(totals, class scores) of the keyword rules on labelled examples."""
+    guess = text.keyword_cause(
+        F.col("failure_type"), F.col("failure_message"), F.col("stack_trace"), F.size(F.coalesce("history.failing_shards", F.array().cast("array<string>")))
+    )
+    rows = examples.select(F.col("label").alias("truth"), guess.alias("predicted"), F.coalesce("adversarial", F.lit(False)).alias("adversarial"))
+    return metrics.report_scores(rows), metrics.class_scores(rows)
