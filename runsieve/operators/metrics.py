@@ -111,3 +111,16 @@ def where_better(a: DataFrame, b: DataFrame) -> DataFrame:
     """Classes with support in which report a recalls more than report b."""
     x = a.select("class", "support", F.col("recall").alias("recall_a"))
     return x.join(b.select("class", F.col("recall").alias("recall_b")), "class").filter("support > 0 AND recall_a > recall_b")
+
+
+def proposal_totals(results: DataFrame) -> DataFrame:
+    """One row over proposals (calls, cache_hit, downgrade_reason): how often they called, hit the cache, were repaired or fell through."""
+    broken = ("invalid_json", "schema_invalid", "unknown_cause", "empty_response")
+    out = results.agg(
+        F.count("*").alias("proposals"),
+        F.coalesce(F.sum("calls"), F.lit(0)).alias("calls"),
+        F.count_if("cache_hit").alias("cache_hits"),
+        F.count_if(F.col("downgrade_reason").isin(*broken)).alias("schema_failures"),
+        F.count_if(F.col("abstained")).alias("abstained"),
+    )
+    return out.withColumn("cache_hit_rate", ratio(F.col("cache_hits"), F.col("proposals")))

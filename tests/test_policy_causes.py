@@ -6,6 +6,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from runsieve import log
 from runsieve.config import Cause
 from runsieve.operators import causes, metrics, policy
 from runsieve.plans import render
@@ -136,3 +137,11 @@ def test_reports(spark):
     assert "t2" in text and "1 further" in text and "t0" not in text
     assert render.as_table(df).splitlines()[1].startswith("regression")
     assert "runsieve_total 3\n" in render.as_prometheus(df.selectExpr("'x' AS verdict", "false AS merged_uncertain").agg(F.count("*").alias("total")))
+
+
+def test_reply_schema_and_logs(capsys):
+    assert set(causes.reply_schema()["properties"]) == set(GOOD) and set(causes.GUIDANCE) == set(causes.CAUSES)
+    assert causes.instructions_version() == causes.instructions_version()
+    log.configure()
+    log.event("x", "done", n=3)
+    assert json.loads(capsys.readouterr().err)["n"] == 3
