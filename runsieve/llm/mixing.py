@@ -83,6 +83,7 @@ def mix(
     block_rows: int = BLOCK_ROWS,
     range_rows: int = RANGE_ROWS,
     seed: str = SEED,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Place every row of docs in the mixed stream.
 
@@ -98,11 +99,15 @@ def mix(
     * in_mix: every source still had a block at this slot, so that up to here
       no source is a block or more away from its target.
 
-    A null source counts as the source ''.  A null id is hashed as ''.  An empty
-    table gives no rows.
+    The columns named in keep follow as they are, each with its own row (other
+    than a join by id would have it, also where ids repeat or are null).  A null
+    source counts as the source ''.  A null id is hashed as ''.  An empty table
+    gives no rows.
     """
     rows = docs.select(
-        F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source")
+        F.col(id_col).alias("id"),
+        F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
+        *[F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept")][: len(keep)],
     )
     ranges = max(1, -(-rows.count() // range_rows))
     h = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
@@ -143,6 +148,7 @@ def mix(
         "slot",
         (ahead + F.col("source_row") % block_rows).alias("position"),
         (F.col("slot") < first_spent).alias("in_mix"),
+        *[F.col(f"kept.`{c}`") for c in keep],
     )
 
 

@@ -25,9 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import mixing
 from .common import read_table
 
 N_BEST = 4
+#: What the pipeline's rows say of their place in the mix.
+PLACE = ("position", "slot", "in_mix")
 MARK = "▁"
 #: Chunks up to this length are solved together; longer ones, one by one.
 WIDE = 32
@@ -300,8 +303,8 @@ ENCODED = (
 _EDITS = pa.list_(pa.list_(pa.struct([("at", pa.int32()), ("drop", pa.int32()), ("ids", pa.list_(pa.int32()))])))
 
 
-def _encode(table: PieceTable, n: int):
-    def emit(known, docs, texts):
+def _encode(table: PieceTable, n: int, keep: tuple[str, ...] = ()):
+    def emit(known, rows, texts):
         ids, scores, edits, crcs = [], [], [], []
         chunks = [table.split(t, known.find) if t else [] for t in texts]
         if len(known.at) > REMEMBER:
@@ -316,25 +319,30 @@ def _encode(table: PieceTable, n: int):
         offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
         flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32()))
         return pa.RecordBatch.from_arrays(
-            [docs, flat, pa.array(scores, pa.list_(pa.float64())), pa.array(edits, _EDITS), pa.array(crcs, pa.int64())],
-            names=["doc_id", "ids", "scores", "edits", "text_crc32"],
+            [rows.column("doc_id"), flat, pa.array(scores, pa.list_(pa.float64())), pa.array(edits, _EDITS), pa.array(crcs, pa.int64())]
+            + [rows.column(c) for c in keep],
+            names=["doc_id", "ids", "scores", "edits", "text_crc32", *keep],
         )
 
     def run(batches):
         known = _Known(table)
         for batch in batches:
-            docs, texts = batch.column("doc_id"), batch.column("text").to_pylist()
+            texts = batch.column("text").to_pylist()
             start = chars = 0
             for k, t in enumerate(texts):
                 chars += len(t or "")
                 if chars >= GROUP_CHARS or k + 1 == len(texts):
-                    yield emit(known, docs.slice(start, k + 1 - start), texts[start : k + 1])
+                    yield emit(known, batch.slice(start, k + 1 - start), texts[start : k + 1])
                     start, chars = k + 1, 0
 
     return run
 
 
-def encode(docs: DataFrame, n_best: int = N_BEST, model_path: str | None = None) -> DataFrame:
+def _schema(docs: DataFrame, keep: tuple[str, ...]) -> str:
+    return "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+
+
+def encode(docs: DataFrame, n_best: int = N_BEST, model_path: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, ids, scores, edits, text_crc32): one row for each row of docs.
 
     ids: the best segmentation of the whole text; scores: of the n_best best
@@ -342,10 +350,11 @@ def encode(docs: DataFrame, n_best: int = N_BEST, model_path: str | None = None)
     from ids: at `at`, `drop` ids give way to `ids`.  Of equal scores, the one
     with the longer last piece is the best.  text_crc32 is that of the text that
     decoding should give: a space mark in the text itself reads as a space.  A
-    null or empty text has no ids and the score 0.  Other columns don't matter.
+    null or empty text has no ids and the score 0.  The columns named in keep
+    follow as they are; others don't matter.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(_encode(load(model_path), n_best), ENCODED)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
+    return docs.mapInArrow(_encode(load(model_path), n_best, keep), ENCODED + _schema(docs, keep))
 
 
 def _decode(table: PieceTable, keep_text: bool):
@@ -398,6 +407,11 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document in piece ids: (doc_id, ids, n_pieces, score)."""
-    rows = encode(docs, n_best=1)
-    return rows.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), F.get("scores", F.lit(0)).alias("score"))
+    """Every document in piece ids, with its place in the mixed stream.
+
+    (doc_id, ids, n_pieces, score, position, slot, in_mix); the last three as
+    mixing.mix has them over all of docs, since a written table keeps no order.
+    """
+    placed = mixing.mix(docs, keep=("text",)).withColumnRenamed("id", "doc_id")
+    rows = encode(placed, n_best=1, keep=PLACE)
+    return rows.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), F.get("scores", F.lit(0)).alias("score"), *PLACE)
