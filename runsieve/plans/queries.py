@@ -593,10 +593,14 @@ def rename_matches(spark, d):
     return identity.match_renames(identity.similar_pairs(*_sides(spark, d), _LOOSE), _LOOSE)
 
 
+def _all_edges(spark, d):
+    return read(spark, d, "orders").select(
+        F.col("o_custkey").alias("old_id"), (F.col("o_custkey") + F.col("o_orderkey") % 2 + 1).alias("new_id"), (F.col("o_orderkey") % 100 / F.lit(100.0)).alias("similarity"), (F.col("o_orderkey") % 10 > 0).alias("certain"), "o_orderkey"
+    )
+
+
 def _edges(spark, d):
-    return read(spark, d, "orders").filter("o_orderkey % 3 = 0").select(
-        F.col("o_custkey").alias("old_id"), (F.col("o_custkey") + F.col("o_orderkey") % 2 + 1).alias("new_id"), (F.col("o_orderkey") % 100 / F.lit(100.0)).alias("similarity"), (F.col("o_orderkey") % 10 > 0).alias("certain")
-    ).filter("old_id % 4 = 0")
+    return _all_edges(spark, d).filter("o_orderkey % 3 = 0 AND old_id % 4 = 0").drop("o_orderkey")
 
 
 _EDGES = "ed AS (SELECT * FROM (SELECT o_custkey AS old_id, o_custkey + o_orderkey % 2 + 1 AS new_id, (o_orderkey % 100) / 100.0::DOUBLE AS similarity, o_orderkey % 10 > 0 AS certain FROM orders WHERE o_orderkey % 3 = 0) WHERE old_id % 4 = 0)"
@@ -616,12 +620,27 @@ def alias_groups(spark, d):
     return identity.groups(_edges(spark, d))
 
 
-_RUNS = """rx AS (SELECT CAST(event_id % 40 AS INT) AS run_pk, user_id AS test_id FROM events), rs AS (SELECT DISTINCT run_pk, run_pk // 2 AS ord FROM rx),
+_ALL_EDGES = "ed AS (SELECT o_custkey AS old_id, o_custkey + o_orderkey % 2 + 1 AS new_id, (o_orderkey % 100) / 100.0::DOUBLE AS similarity, o_orderkey % 10 > 0 AS certain FROM orders)"
+
+
+@query(f"WITH {_ALL_EDGES} SELECT old_id, new_id, max(similarity) AS similarity, bool_or(certain) AS certain FROM ed GROUP BY 1, 2")
+def alias_upsert_all(spark, d):
+    e = _all_edges(spark, d).drop("o_orderkey")
+    return identity.upsert_aliases(e.filter("similarity < 0.5"), e.filter("similarity >= 0.5"))
+
+
+@query()
+def alias_groups_all(spark, d):
+    """No SQL: chains through the ids of all orders; tests hold it against a plain loop."""
+    return identity.groups(_all_edges(spark, d).drop("o_orderkey"))
+
+
+_ALL_RUNS = _RUNS = """rx AS (SELECT CAST(event_id % 40 AS INT) AS run_pk, user_id AS test_id FROM events), rs AS (SELECT DISTINCT run_pk, run_pk // 2 AS ord FROM rx),
 first AS (SELECT test_id, min(ord) AS f FROM rx JOIN rs USING (run_pk) GROUP BY 1)"""
 
 
-def _runs(spark, d):
-    ex = read(spark, d, "events").filter("user_id % 9 > 0 OR event_id % 40 > 20").select((F.col("event_id") % 40).cast("int").alias("run_pk"), F.col("user_id").alias("test_id"))
+def _runs(spark, d, rows="user_id % 9 > 0 OR event_id % 40 > 20"):
+    ex = read(spark, d, "events").filter(rows).select((F.col("event_id") % 40).cast("int").alias("run_pk"), F.col("user_id").alias("test_id"))
     runs = ex.select("run_pk").distinct().withColumn("started_at", F.expr("run_pk div 2"))
     return ex, runs
 
@@ -639,6 +658,16 @@ def appeared(spark, d):
     return identity.appeared(*_runs(spark, d))
 
 
+@query(f"WITH {_ALL_RUNS} SELECT DISTINCT run_pk, test_id FROM rs JOIN first ON f < ord WHERE NOT EXISTS (SELECT 1 FROM rx WHERE rx.run_pk = rs.run_pk AND rx.test_id = first.test_id)")
+def disappeared_all(spark, d):
+    return identity.disappeared(*_runs(spark, d, "true"))
+
+
+@query(f"WITH {_ALL_RUNS} SELECT DISTINCT rx.run_pk, rx.test_id FROM rx JOIN rs USING (run_pk) JOIN first ON first.test_id = rx.test_id AND f = ord")
+def appeared_all(spark, d):
+    return identity.appeared(*_runs(spark, d, "true"))
+
+
 @query("SELECT CAST(0 AS BIGINT) AS new_rows, count(DISTINCT (o_custkey, o_orderstatus)) AS rows_kept FROM orders")
 def reingest_noop(spark, d):
     o = read(spark, d, "orders").select("o_custkey", "o_orderstatus", "o_orderkey")
@@ -701,7 +730,19 @@ def line_range_overlap(spark, d):
     g AS (SELECT *, n - row_number() OVER (PARTITION BY k ORDER BY n) AS i FROM l) SELECT k, CAST(min(n) AS BIGINT) AS range_start, CAST(max(n) AS BIGINT) AS range_end FROM g GROUP BY k, i"""
 )
 def line_runs(spark, d):
-    l = read(spark, d, "lineitem").filter("l_suppkey % 5 = 0").select(F.col("l_suppkey").alias("k"), (F.col("l_linenumber") + F.floor("l_quantity").cast("int")).cast("long").alias("n")).distinct()
+    return _line_runs(read(spark, d, "lineitem").filter("l_suppkey % 5 = 0"))
+
+
+@query(
+    """WITH l AS (SELECT DISTINCT l_suppkey AS k, l_linenumber + CAST(floor(l_quantity) AS INT) AS n FROM lineitem),
+    g AS (SELECT *, n - row_number() OVER (PARTITION BY k ORDER BY n) AS i FROM l) SELECT k, CAST(min(n) AS BIGINT) AS range_start, CAST(max(n) AS BIGINT) AS range_end FROM g GROUP BY k, i"""
+)
+def line_runs_all(spark, d):
+    return _line_runs(read(spark, d, "lineitem"))
+
+
+def _line_runs(lines):
+    l = lines.select(F.col("l_suppkey").alias("k"), (F.col("l_linenumber") + F.floor("l_quantity").cast("int")).cast("long").alias("n")).distinct()
     out = l.groupBy("k").agg(series.merge_ranges(F.collect_list(F.struct(F.col("n").alias("start"), F.col("n").alias("end")))).alias("r")).select("k", F.explode("r").alias("r"))
     return out.select("k", F.col("r.start").alias("range_start"), F.col("r.end").alias("range_end"))
 
