@@ -357,7 +357,7 @@ def encode(docs: DataFrame, n_best: int = N_BEST, model_path: str | None = None,
     return docs.mapInArrow(_encode(load(model_path), n_best, keep), ENCODED + _schema(docs, keep))
 
 
-def _decode(table: PieceTable, keep_text: bool):
+def _decode(table: PieceTable, keep_text: bool, keep: tuple[str, ...] = ()):
     def run(batches):
         for batch in batches:
             ids = batch.column("ids")
@@ -374,6 +374,7 @@ def _decode(table: PieceTable, keep_text: bool):
                 cols["text"] = pa.array([t.decode("utf-8", "replace") for t in out], pa.string())
             else:
                 cols["scores"], cols["text_crc32"] = batch.column("scores"), batch.column("text_crc32")
+            cols |= {c: batch.column(c) for c in keep}
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     return run
@@ -387,18 +388,26 @@ def decode(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
     )
 
 
-def encode_and_check(docs: DataFrame, n_best: int = N_BEST, model_path: str | None = None) -> DataFrame:
-    """Encode, decode the ids again, and say of each document whether its text came back."""
+def encode_and_check(docs: DataFrame, n_best: int = N_BEST, model_path: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Encode, decode the ids again, and say of each document whether its text came back.
+
+    keep: columns of encode's rows (ids, edits) or of docs that follow as they are.
+    """
     table = load(model_path)
-    rows = encode(docs, n_best, model_path).select("doc_id", "ids", "scores", "text_crc32")
+    own = tuple(c for c in keep if c not in ("ids", "edits"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *own)
+    there, back = _encode(table, n_best, own), _decode(table, False, keep)
+    types = dict(x.split(" ", 1) for x in ENCODED.split(", ")) | {c: docs.schema[c].dataType.simpleString() for c in own}
     schema = "doc_id long, n_pieces long, ids_crc32 long, decoded_crc32 long, scores array<double>, text_crc32 long"
-    rows = rows.mapInArrow(_decode(table, False), schema)
+    # One Python worker a task for both ways.
+    rows = docs.mapInArrow(lambda batches: back(there(batches)), schema + "".join(f", {c} {types[c]}" for c in keep))
     return rows.select(
         "doc_id",
         "n_pieces",
         "ids_crc32",
         "scores",
         (F.col("decoded_crc32") == F.col("text_crc32")).alias("round_trip"),
+        *keep,
     )
 
 
@@ -407,11 +416,12 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document in piece ids, with its place in the mixed stream.
+    """Every document in piece ids with its N best segmentations, decoded again, and its place in the mixed stream.
 
-    (doc_id, ids, n_pieces, score, position, slot, in_mix); the last three as
-    mixing.mix has them over all of docs, since a written table keeps no order.
+    (doc_id, ids, n_pieces, score, scores, edits, round_trip, position, slot,
+    in_mix); the last three as mixing.mix has them over all of docs, since a
+    written table keeps no order.
     """
     placed = mixing.mix(docs, keep=("text",)).withColumnRenamed("id", "doc_id")
-    rows = encode(placed, n_best=1, keep=PLACE)
-    return rows.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), F.get("scores", F.lit(0)).alias("score"), *PLACE)
+    rows = encode_and_check(placed, keep=("ids", "edits", *PLACE))
+    return rows.select("doc_id", "ids", "n_pieces", F.get("scores", F.lit(0)).alias("score"), "scores", "edits", "round_trip", *PLACE)

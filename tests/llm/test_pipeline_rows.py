@@ -54,3 +54,18 @@ def test_pipeline_keeps_the_schedule(spark):
     source = {r["doc_id"]: r["source"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     kept = [r["doc_id"] for r in got.collect()]
     assert places(got) == plain_schedule([(i, source[i]) for i in kept])
+
+
+def test_last_stage_is_all_of_op10(spark):
+    rows = [(k, f"the quick brown fox number {k} jumps over", "src1") for k in range(40)]
+    rows += [(40, None, "src1"), (41, "", "src2"), (42, "x\x00y ￾ 🎉 ́ <|endoftext|>", "src2"), (43, "a" * 5_000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = {r["doc_id"]: r for r in pieces.stage(spark, docs, SMALL).collect()}
+    alone = {r["doc_id"]: r for r in pieces.encode(docs).collect()}
+    checked = {r["doc_id"]: r for r in pieces.encode_and_check(docs).collect()}
+    assert got.keys() == alone.keys() == {i for i, _, _ in rows}
+    for i, r in got.items():
+        assert (r["ids"], r["scores"], r["edits"]) == (alone[i]["ids"], alone[i]["scores"], alone[i]["edits"])
+        assert (r["n_pieces"], r["round_trip"]) == (checked[i]["n_pieces"], checked[i]["round_trip"]) and r["round_trip"]
+        assert r["score"] == r["scores"][0] and len(r["edits"]) == len(r["scores"]) - 1
+    assert max(len(r["scores"]) for r in got.values()) == pieces.N_BEST
