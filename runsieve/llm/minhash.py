@@ -270,7 +270,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
     a link of all, and all are kept if the id is.  Rows without an id are linked
     with nothing, have a null component_id and are kept.  Other columns of docs
     don't matter; an empty table gives no rows.
+
+    BANDS, ROWS and MIN_AGREE are made for PERCENT: a lower percent would lose
+    links and raises ValueError.
     """
+    if percent < PERCENT:
+        raise ValueError(f"percent must be at least {PERCENT}, for which the bands are made, not {percent}")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialise(docs.mapInArrow(_sign(shingle_words), SIGNED), "minhash_signed")
     some = signed.filter("doc_id IS NOT NULL AND fp IS NOT NULL")
