@@ -8,10 +8,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from runsieve.llm import licenses, minhash, mixing, pieces, quality, queries, search, toxicity, vectors, warc
+from runsieve.llm import licenses, minhash, mixing, pieces, quality, queries, search, tokenfile, toxicity, vectors, warc
 from runsieve.llm.common import connected_components
 
 SMALL = "/root/testdata/sf0.001"
@@ -72,6 +73,24 @@ def test_block_max_is_exact():
         assert [int(index.ids[a]) for a in at] == [k for _, k in want] and np.allclose(sims, [-s for s, _ in want])
 
 
+def test_word_memory_is_the_library():
+    """Remembered words against the library over whole texts, also after the memory was trimmed."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        coder = tokenfile.coder(f.read(), True)
+    assert coder.check()
+    rng, letters = random.Random(1), "ab'sS \n\t<|>0é½ßÄ\u0301 日\u0301Σς🎉İ'lLrev\x1c\x85ǅ\u00a0ŸŁ"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(3000)] + ["x<|endoftext|>y <|startoftext|>", None, ""]
+    for _ in range(2):
+        count, ids = coder.encode(pa.array(texts).slice(1))
+        ends = np.cumsum(count)
+        for t, n, end in zip(texts[1:], count, ends, strict=True):
+            assert coder.tok.encode(t or "", add_special_tokens=False).ids == ids[end - n : end].tolist(), t
+        coder._trim()
+    assert 1 < len(coder.at) < 20_000
+
+
 def test_search_is_exact(spark):
     rng = random.Random(3)
     vocabulary = [f"w{k}" for k in range(300)]
