@@ -17,5 +17,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_mix": mixing.ORACLE,
+    "op5_search": search.ORACLE,
     "op6_warc": warc.ORACLE,
 }

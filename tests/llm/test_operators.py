@@ -91,22 +91,58 @@ def test_word_memory_is_the_library():
     assert 1 < len(coder.at) < 20_000
 
 
+def bm25(docs, own, k):
+    """Plain loops: [(-score, id)] of the k best of [(id, words)] for the distinct words of own."""
+    bags = [(i, collections.Counter(re.findall(search.WORD, (t or "").lower()))) for i, t in docs]
+    n, df, mean = len(bags), collections.Counter(t for _, b in bags for t in b), sum(sum(b.values()) for _, b in bags) / len(bags)
+    idf = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) for t in df}
+    score = [(sum(idf[t] * b[t] * 2.2 / (b[t] + 1.2 * (0.25 + 0.75 * sum(b.values()) / mean)) for t in own if t in b), i) for i, b in bags]
+    return sorted((-round(s, search.DIGITS), i) for s, i in score if s > 0 and i is not None)[:k]
+
+
 def test_search_is_exact(spark):
+    """Several shards, long and short queries, equal documents, documents without an id, queries that repeat one."""
     rng = random.Random(3)
     vocabulary = [f"w{k}" for k in range(300)]
-    docs = [(k, " ".join(rng.choices(vocabulary, [1 / (1 + i) for i in range(300)], k=rng.randint(1, 60)))) for k in range(400)]
+    text = lambda n: " ".join(rng.choices(vocabulary, [1 / (1 + i) for i in range(300)], k=n))
+    docs = [(k, text(rng.randint(1, 60))) for k in range(400)]
+    docs += [(400 + k, docs[20 * (k % 3)][1]) for k in range(30)] + [(None, docs[20][1])] * 12 + [(500, None), (501, "")]
+    asked = [(k, t) for k, t in docs[:400:20]] + [(1000, "w0 w1"), (1001, "w299"), (1002, "nowhere"), (1003, None), (None, "w1"), (1004, "w5 w6"), (1004, "w7")]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    queries = spark.createDataFrame(asked, "query_id long, text string")
     got = collections.defaultdict(list)
-    for r in search.search(df, df.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text"), k=7, shard_docs=90).collect():
-        got[r["query_id"]].append((r["rank"], r["doc_id"], r["score"]))
-    bags = [(k, collections.Counter(re.findall(search.WORD, t))) for k, t in docs]
-    df_, mean = collections.Counter(t for _, b in bags for t in b), sum(sum(b.values()) for _, b in bags) / len(bags)
-    for q, own in bags[::20]:
-        score = {k: sum(math.log(1 + (400 - df_[t] + 0.5) / (df_[t] + 0.5)) * b[t] * 2.2 / (b[t] + 1.2 * (0.25 + 0.75 * sum(b.values()) / mean)) for t in own if t in b) for k, b in bags}
-        want = sorted(((-round(s, 9), k) for k, s in score.items() if s > 0))[:7]
-        mine = sorted(got[q])
-        assert [k for _, k, _ in mine] == [k for _, k in want]
-        assert all(abs(s + w) < 3e-9 for (_, _, s), (w, _) in zip(mine, want))
+    for r in search.search(df, queries, k=7, shard_docs=90).collect():
+        got[r["query_id"]].append((r["rank"], -r["score"], r["doc_id"]))
+    words = collections.defaultdict(set)
+    for q, t in asked:
+        words[q] |= set(re.findall(search.WORD, t or ""))
+    want = {q: [(n, *r) for n, r in enumerate(bm25(docs, own, 7), 1)] for q, own in words.items() if q is not None}
+    assert {q: sorted(v) for q, v in got.items()} == {q: v for q, v in want.items() if v}
+
+
+def test_pivots_spare_documents():
+    """Of documents that share frequent words and few rare ones, only a few are scored in full, and none is lost."""
+    rng = np.random.default_rng(4)
+    n, weights = 4000, 1 / np.arange(1, 3001) ** 0.9
+    bags = [np.unique(rng.choice(3000, 80, p=weights / weights.sum()), return_counts=True) for _ in range(n)]
+    terms, docs = np.concatenate([b[0] for b in bags]), np.repeat(np.arange(n), [len(b[0]) for b in bags])
+    tf, order = np.concatenate([b[1] for b in bags]), np.lexsort((docs, terms))
+    own, start = np.unique(terms[order], return_index=True)
+    raw = [np.arange(n) * 3, np.full(n, 80), own, np.append(start, len(terms)), docs[order].astype(np.int32), tf[order].astype(np.int32)]
+    idf = np.log(1 + (n - np.diff(raw[3]) + 0.5) / (np.diff(raw[3]) + 0.5))
+    shard = search.Shard(raw, own, idf, 80.0)
+    full = np.zeros((n, len(own)))
+    full[docs[order], np.searchsorted(own, terms[order])] = shard.impact
+    for lo in range(0, 96, 32):
+        queries = [np.searchsorted(own, bags[q][0]) for q in range(lo, lo + 32)]
+        queries = [q[np.argsort(idf[q], kind="stable")] for q in queries]
+        exact = [np.round(full[:, q].sum(1), search.DIGITS) for q in queries]
+        floors = [float(np.sort(e)[-10]) for e in exact]
+        for given in ([0.0] * 32, floors):
+            for e, (ids, scores) in zip(exact, shard.top(queries, 10, given), strict=True):
+                best = np.lexsort((np.arange(n), -e))[:10]
+                assert ids.tolist() == (best * 3).tolist() and scores.tolist() == e[best].tolist()
+    assert shard.scored < 0.1 * shard.asked
 
 
 def test_warc_round_trip(spark, tmp_path):
