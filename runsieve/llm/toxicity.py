@@ -1,170 +1,148 @@
 """Operator 4: toxicity by the nearest labelled examples.
 
 A bounded sample of labelled documents becomes a block-max inverted index of
-TF-IDF vectors over the words that separate the classes.  Every document is a
-query: blocks of examples are visited by falling upper bound until no block can
-reach the k-th best cosine, so the k nearest examples are exact.  Their votes,
-weighted by distance, are calibrated on the sample itself (each example against
-the others) and come with the examples and words they rest on.
-
-Which words, their document frequencies and all scores use whole texts of all
-documents; only the labelled sample is bounded (LABELLED_ROWS).
+TF-IDF vectors over all their words; document frequencies count all documents.
+A word's weight also grows with how surely it separates the classes in the
+sample, or words that say nothing would rule the cosine; none is left out.
+Every document is a query, and its nearest examples are exact (blockmax.py).
+Their votes, weighted by distance, are calibrated on labelled documents that are
+neither examples nor seen by the weights, and come with the examples and the
+words they rest on.  A document that is itself an example, or has the label and
+the text of one, never meets that example.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blockmax import BlockMaxIndex
 from .common import materialise, read_table
+from .tokenfile import _groups
 
-#: Labelled rows used as examples, words kept, neighbours that vote, examples in a block.
-LABELLED_ROWS, N_TERMS, NEIGHBOURS, BLOCK = 20_000, 512, 15, 64
-#: A word must stand in so many toxic examples, plus this share of them.
-MIN_SUPPORT, SUPPORT_SHARE = 3, 0.002
-#: and in a share of the toxic examples that is so many times its share of the others.
-MIN_LIFT = 20.0
+#: Labelled rows used, at most; of them one in TUNE_EVERY calibrates, the others are examples.
+LABELLED_ROWS, TUNE_EVERY, NEIGHBOURS = 8192, 5, 15
+#: What a word that separates nothing weighs beside its idf, and how many standard errors a word must show.
+LEAST_WEIGHT, ERRORS = 0.02, 2.0
+#: Cosines count to so many decimals.
+DIGITS = 9
+TOGETHER, REMEMBER = 64, 100_000
 
-WORD = r"[^\W\d_]+"
 
+def held_out(id_col: str = "doc_id") -> Column:
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
-def words_of(text: str | None) -> list[str]:
-    """Lower-cased runs of letters of the whole text; null has none."""
-    return re.findall(WORD, text.lower()) if text else []
 
+def words_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """(the lower-cased runs of letters of whole texts end to end, the text of each); null has none."""
+    lists = pc.split_pattern_regex(pc.utf8_lower(texts.fill_null("")), r"[^\p{L}]+")
+    sizes = np.diff(lists.offsets.to_numpy())
+    return lists.flatten().dictionary_encode(), np.repeat(np.arange(len(sizes)), sizes)
 
-def held_out(id_col: str = "doc_id") -> Column:
-    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
+
+def count_words(texts: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, word, count) of the vocabulary's words in whole texts, by text and word."""
+    words, text = words_of(texts)
+    code = pc.index_in(words.dictionary, value_set=vocabulary).fill_null(-1).to_numpy().astype(np.int64)[words.indices.to_numpy()]
+    some = code >= 0
+    key, count = np.unique(text[some] * max(1, len(vocabulary)) + code[some], return_counts=True)
+    return key // max(1, len(vocabulary)), key % max(1, len(vocabulary)), count
 
 
-def _class_counts(batches):
-    """(term, toxic, clean): documents of each class in a batch that hold the term."""
+def _bags(batches):
+    """The words of the sample's texts, with counts."""
     for batch in batches:
-        counts = (Counter(), Counter())
-        for text, y in zip(batch.column("text").to_pylist(), batch.column("_y").to_pylist(), strict=True):
-            counts[y].update(set(words_of(text)))
-        terms = list(counts[0] | counts[1])
+        texts = batch.column("text")
+        words, text = words_of(texts)
+        size = max(1, len(words.dictionary))
+        key, count = np.unique(text * size + words.indices.to_numpy(), return_counts=True)
+        word = words.dictionary.take(pa.array(key % size))
+        offsets = pa.array(np.searchsorted(key, np.arange(len(texts) + 1) * size).astype(np.int32))
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(terms, pa.string()),
-                pa.array([counts[1][t] for t in terms], pa.int64()),
-                pa.array([counts[0][t] for t in terms], pa.int64()),
-            ],
-            names=["term", "toxic", "clean"],
+            [*(batch.column(c) for c in ("h", "ids", "y")), pa.ListArray.from_arrays(offsets, word), pa.ListArray.from_arrays(offsets, pa.array(count, pa.int32()))],
+            names=["h", "ids", "y", "words", "counts"],
         )
 
 
-def _vectors(vocabulary: dict[str, int]):
+COUNTED = "doc_id long, terms array<int>, counts array<int>"
+
+
+def _vectors(vocabulary: pa.Array):
     """Counts of the vocabulary's words in each whole text."""
-    find = re.compile(WORD).findall
 
     def run(batches):
-        get = vocabulary.get
         for batch in batches:
-            terms, counts = [], []
-            for text in batch.column("text").to_pylist():
-                hits = Counter(t for t in map(get, find(text.lower())) if t is not None) if text else {}
-                order = sorted(hits)
-                terms.append(order)
-                counts.append([hits[t] for t in order])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))],
-                names=["doc_id", "terms", "counts"],
-            )
+            texts = batch.column("text")
+            for lo, hi in _groups(texts):
+                text, word, count = count_words(texts.slice(lo, hi - lo), vocabulary)
+                offsets = pa.array(np.searchsorted(text, np.arange(hi - lo + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(v, pa.int32())) for v in (word, count)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), *lists], names=["doc_id", "terms", "counts"])
 
     return run
 
 
-class BlockMaxIndex:
-    """Exact top-k by cosine over unit sparse vectors, in blocks with maxima for each term."""
-
-    def __init__(self, ids, labels, vectors, n_terms: int, block: int = BLOCK):
-        # Examples with the same heaviest term stand together, so that maxima are tight.
-        order = sorted(range(len(ids)), key=lambda i: (-1 if not len(vectors[i][0]) else int(vectors[i][0][np.argmax(vectors[i][1])]), ids[i]))
-        self.ids = np.array([ids[i] for i in order], np.int64)
-        self.labels = np.array([labels[i] for i in order], np.int8)
-        self.block, self.n_blocks = block, -(-len(order) // block)
-        terms = np.concatenate([vectors[i][0] for i in order] or [np.zeros(0, np.int64)]).astype(np.int64)
-        weights = np.concatenate([vectors[i][1] for i in order] or [np.zeros(0)])
-        docs = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
-        by_term = np.lexsort((docs, terms))
-        self.docs, self.weights = docs[by_term], weights[by_term]
-        cell = terms[by_term] * self.n_blocks + self.docs // block
-        #: Postings of term t in block b are start[t, b] : start[t, b + 1].
-        self.start = np.searchsorted(cell, np.arange(n_terms * self.n_blocks + 1))
-        self.maxima = np.zeros((n_terms, self.n_blocks))
-        np.maximum.at(self.maxima, (terms[by_term], self.docs // block), self.weights)
-
-    def top(self, terms, weights, k: int, leave_out: int | None = None):
-        """Positions and cosines of the k nearest (cosine above 0), ties by id.
-
-        leave_out: an example's id that is not to count.
-        """
-        if not len(terms) or not self.n_blocks:
-            return np.zeros(0, np.int64), np.zeros(0)
-        bound = weights @ self.maxima[terms]
-        found_at, found, floor = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(found) == k and bound[b] < floor - 1e-12):
-                break
-            sims = np.zeros(self.block)
-            for t, w in zip(terms, weights, strict=True):
-                lo, hi = self.start[t * self.n_blocks + b], self.start[t * self.n_blocks + b + 1]
-                sims[self.docs[lo:hi] - b * self.block] += w * self.weights[lo:hi]
-            at = np.flatnonzero(sims > 0)
-            here = at + b * self.block
-            if leave_out is not None:
-                keep = self.ids[here] != leave_out
-                at, here = at[keep], here[keep]
-            found_at, found = np.concatenate([found_at, here]), np.concatenate([found, sims[at]])
-            if len(found) > k:
-                best = np.lexsort((self.ids[found_at], -np.round(found, 12)))[:k]
-                found_at, found = found_at[best], found[best]
-            floor = found.min() if len(found) == k else 0.0
-        best = np.lexsort((self.ids[found_at], -np.round(found, 12)))
-        return found_at[best], found[best]
-
-
-def _weigh(terms, counts, idf):
-    terms = np.asarray(terms, np.int64)
-    w = (1 + np.log(np.asarray(counts, float))) * idf[terms] if len(terms) else np.zeros(0)
-    return terms, w / np.sqrt((w**2).sum()) if len(terms) else w
-
-
-def _evidence(sims, labels, n_words):
-    """What the calibration sees: the weighted vote, how near the voters are, and on how many words they rest."""
-    weight = 1.0 / (1.05 - sims)
-    vote, near, words = float((weight * labels).sum() / weight.sum()), float(sims.mean()), float(np.log1p(n_words))
-    return vote, near, vote * near, words, vote * words
+def separation(y: np.ndarray, text: np.ndarray, word: np.ndarray, n_words: int) -> np.ndarray:
+    """How surely each word separates the classes: LEAST_WEIGHT plus the square of its log-odds beyond ERRORS standard errors."""
+    n1, n0 = y.sum(), len(y) - y.sum()
+    a = np.bincount(word[y[text] == 1], minlength=n_words) + 0.5
+    b = np.bincount(word[y[text] == 0], minlength=n_words) + 0.5
+    odds = np.log(a / (n1 + 1)) - np.log(b / (n0 + 1))
+    return LEAST_WEIGHT + np.maximum(np.abs(odds) - ERRORS * np.sqrt(1 / a + 1 / b), 0) ** 2
 
 
+@dataclass
 class NearestExamples:
-    """The fitted operator: index, idf of its words, calibration."""
-
-    def __init__(self, vocabulary, idf, index, prior, empty_rate, coefficients):
-        self.vocabulary, self.idf, self.index = vocabulary, idf, index
-        self.prior, self.empty_rate, self.coefficients = prior, empty_rate, coefficients
-
-    def judge(self, terms, counts, k: int = NEIGHBOURS):
-        """(score, positions and cosines of the voters)."""
-        t, w = _weigh(terms, counts, self.idf)
-        at, sims = self.index.top(t, w, k)
+    """The fitted operator: all words of the examples, their weights, the index, labels, ids and calibration."""
+
+    vocabulary: pa.Array
+    weights: np.ndarray
+    index: BlockMaxIndex
+    labels: np.ndarray
+    #: Of each labelled document of the sample, the example that has its text.
+    own: dict
+    prior: float
+    coefficients: np.ndarray
+
+    def query(self, terms: np.ndarray, counts: np.ndarray):
+        """The unit vector of a document as lists and weights, the longest lists first."""
+        w = (1 + np.log(counts)) * self.weights[terms]
+        order = np.lexsort((terms, -self.index.df[terms]))
+        return terms[order], (w / np.sqrt((w * w).sum()))[order] if len(w) else w
+
+    def nearest(self, documents: list, without: list | None = None, k: int = NEIGHBOURS):
+        """(positions, cosines) of the nearest examples of each (terms, counts)."""
+        return self.index.top([self.query(t, c) for t, c in documents], k, None, without)
+
+    def evidence(self, found) -> np.ndarray:
+        """What the calibration sees of the voters: the weighted vote, how near they are, and both together."""
+        at, sims = found
         if not len(at):
-            return self.empty_rate, at, sims
-        x = np.array([1.0, *_evidence(sims, self.index.labels[at], len(t))])
-        return float(1 / (1 + np.exp(-(x @ self.coefficients)))), at, sims
+            return np.array([1.0, 0.0, 0.0, 0.0])
+        weight = 1.0 / (1.02 - sims)
+        vote, near = float((weight * self.labels[at]).sum() / weight.sum()), float(sims.mean())
+        return np.array([1.0, vote, near, vote * near])
+
+    def score(self, found) -> float:
+        """The share of toxic documents that such voters mean; without voters, that of all labelled ones."""
+        if not len(found[0]):
+            return self.prior
+        return float(1 / (1 + np.exp(-np.clip(self.evidence(found) @ self.coefficients, -30, 30))))
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray, prior: float) -> np.ndarray:
     """Logistic regression with a little shrinkage, by Newton steps."""
-    start = np.array([np.log(prior / (1 - prior)), 0, 0, 0, 0, 0])
+    start = np.zeros(x.shape[1])
+    start[0] = np.log(prior / (1 - prior))
+    start[1] = 1.0  # without rows to learn from, votes still count
     beta, keep = start.copy(), 0.1 * np.eye(len(start))
-    for _ in range(50):
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         grad = x.T @ (p - y) + keep @ (beta - start)
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + keep, grad)
@@ -175,90 +153,121 @@ def _calibrate(x: np.ndarray, y: np.ndarray, prior: float) -> np.ndarray:
     return beta
 
 
+def _weighed(text, word, count, weights, n):
+    """Unit vectors as postings (word, text, impact), sorted by word and text."""
+    w = (1 + np.log(count)) * weights[word]
+    norm = np.sqrt(np.bincount(text, w * w, n))
+    order = np.lexsort((text, word))
+    return word[order], text[order], (w / norm[text])[order]
+
+
 def fit_and_vectors(docs: DataFrame, labels: DataFrame) -> tuple[NearestExamples, DataFrame]:
     """The fitted operator, and (doc_id, terms, counts) of all documents.
 
     Learns from at most LABELLED_ROWS labels with doc_id outside the held-out
     fifth; a document with several labels, or a text with several documents,
-    counts once with the highest label.
+    counts once with the highest label.  Labels that are neither 0 nor 1, or of
+    ids that docs lacks, are left out.
     """
-    own = labels.filter(~held_out() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("_y"))
+    own = labels.filter(~held_out() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     own = own.orderBy(F.xxhash64(F.lit("toxic"), "doc_id"), "doc_id").limit(LABELLED_ROWS)
-    docs = docs.select("doc_id", "text")
-    sample = docs.join(F.broadcast(own), "doc_id")  # at most LABELLED_ROWS labels
-    # Copies of one text are one example, or its words would look telling.
-    sample = sample.groupBy(F.md5(F.coalesce("text", F.lit(""))).alias("_h")).agg(
-        F.min("doc_id").alias("doc_id"), F.max("_y").alias("_y"), F.max("text").alias("text")
-    )
-    sample = materialise(sample.select("doc_id", "text", "_y"), "toxic_sample")
-    own = sample.select("doc_id", "_y")
-    n = own.groupBy("_y").count().collect()
-    n_toxic = sum(r["count"] for r in n if r["_y"] == 1)
-    n_clean = sum(r["count"] for r in n if r["_y"] == 0)
-    counts = sample.select("text", "_y").mapInArrow(_class_counts, "term string, toxic long, clean long").groupBy("term")
-    counts = counts.agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
-    lift = ((F.col("a") + 0.5) / (n_toxic + 1)) / ((F.col("b") + 0.5) / (n_clean + 1))
-    counts = counts.withColumn("gain", F.col("a") * F.ln(lift))
-    counts = counts.filter((F.col("a") >= MIN_SUPPORT + SUPPORT_SHARE * n_toxic) & (lift >= MIN_LIFT))
-    # Of the words of the sample, the best separate the classes: a report of N_TERMS rows.
-    best = counts.orderBy(F.desc("gain"), "term").limit(N_TERMS).collect()
-    vocabulary = {r["term"]: i for i, r in enumerate(sorted(best, key=lambda r: r["term"]))}
-
-    schema = "doc_id long, terms array<int>, counts array<int>"
-    vectors = materialise(
-        docs.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(_vectors(vocabulary), schema), "toxic_vectors"
-    )
-    n_docs = vectors.count()
-    frequency = vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect()  # N_TERMS rows at most
-    df = np.zeros(len(vocabulary))
-    for r in frequency:
-        df[r["t"]] = r["count"]
-    idf = np.log((1 + n_docs) / (1 + df)) + 1
-
-    examples = vectors.join(F.broadcast(own), "doc_id")
-    bare = {r["_y"]: r["count"] for r in examples.filter("size(terms) = 0").groupBy("_y").count().collect()}
-    rows = examples.filter("size(terms) > 0").dropDuplicates(["doc_id"]).collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    weighed = [_weigh(r["terms"], r["counts"], idf) for r in rows]
-    index = BlockMaxIndex([r["doc_id"] for r in rows], [r["_y"] for r in rows], weighed, len(vocabulary))
-    prior = (n_toxic + 0.5) / (n_toxic + n_clean + 1)
-    empty_rate = (bare.get(1, 0) + prior) / (bare.get(0, 0) + bare.get(1, 0) + 1)
-    x, y = [], []
-    for r, (t, w) in zip(rows, weighed, strict=True):
-        at, sims = index.top(t, w, NEIGHBOURS, leave_out=r["doc_id"])
-        if len(at):
-            x.append([1.0, *_evidence(sims, index.labels[at], len(t))])
-            y.append(r["_y"])
-    coefficients = _calibrate(np.array(x).reshape(-1, 6), np.array(y, float), prior)
-    return NearestExamples(vocabulary, idf, index, prior, empty_rate, coefficients), vectors
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sample = docs.join(F.broadcast(own), "doc_id").withColumn("h", F.sha2(F.coalesce("text", F.lit("")), 256))  # at most LABELLED_ROWS labels
+    # Copies of one text are one example: an id may have several texts, a text several ids.
+    sample = sample.groupBy("h").agg(F.collect_set("doc_id").alias("ids"), F.max("y").cast("int").alias("y"), F.first("text").alias("text"))
+    sample = materialise(sample.select("h", "ids", "y", "text"), "toxic_sample")
+    bags = sample.mapInArrow(_bags, "h string, ids array<long>, y int, words array<string>, counts array<int>")
+    rows = materialise(bags, "toxic_bags").toArrow().sort_by("h")  # the bounded sample
+    y = rows.column("y").to_numpy().astype(np.int64)
+    lists = rows.column("words").combine_chunks()
+    words = pc.unique(lists.flatten()).sort()
+    word = pc.index_in(lists.flatten(), value_set=words).to_numpy(zero_copy_only=False).astype(np.int64)
+    text = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()))
+    count = rows.column("counts").combine_chunks().flatten().to_numpy().astype(float)
+    ids = rows.column("ids").to_pylist()
+
+    # The words of the examples are the space; the others of the sample calibrate.
+    tune = np.arange(len(y)) % TUNE_EVERY == TUNE_EVERY - 1
+    example = np.cumsum(~tune) - 1
+    mine = ~tune[text]
+    used = np.unique(word[mine])
+    code = np.full(len(words), -1)
+    code[used] = np.arange(len(used))
+    vocabulary = words.take(pa.array(used)).cast(pa.string())
+
+    vectors = materialise(docs.mapInArrow(_vectors(vocabulary), COUNTED), "toxic_vectors")
+    n_docs = docs.count()
+    seen = vectors.select(F.explode("terms").alias("t")).groupBy("t").count().toArrow()  # words of the sample
+    df = np.zeros(len(used))
+    df[seen.column("t").to_numpy()] = seen.column("count").to_numpy()
+    weights = (np.log((1 + n_docs) / (1 + df)) + 1) * separation(y[~tune], example[text[mine]], code[word[mine]], len(used))
+
+    n = int((~tune).sum())
+    term, doc, impact = _weighed(example[text[mine]], code[word[mine]], count[mine], weights, n)
+    start = np.searchsorted(term, np.arange(len(used) + 1))
+    first = np.array([min(i) for i, t in zip(ids, tune, strict=True) if not t], np.int64)
+    place = {i: int(example[k]) for k in np.flatnonzero(~tune) for i in ids[k]}
+    prior = (y.sum() + 0.5) / (len(y) + 1)
+    model = NearestExamples(vocabulary, weights, BlockMaxIndex(first, start, doc, impact, DIGITS), y[~tune], place, prior, np.zeros(4))
+    x, truth = [], []
+    at, known = np.searchsorted(text, np.arange(len(y) + 1)), code[word]
+    for k in np.flatnonzero(tune):
+        own_words = np.arange(at[k], at[k + 1])
+        own_words = own_words[known[own_words] >= 0]
+        own_words = own_words[np.argsort(known[own_words])]
+        without = sorted({place[i] for i in ids[k] if i in place})
+        found = model.nearest([(known[own_words], count[own_words])], [np.array(without, np.int64)])[0]
+        if len(found[0]):
+            x.append(model.evidence(found))
+            truth.append(y[k])
+    model.coefficients = _calibrate(np.array(x).reshape(-1, 4), np.array(truth, float), prior)
+    return model, vectors
+
+
+class Judge:
+    """Judges documents by a fitted model, remembering what it said of equal vectors."""
+
+    def __init__(self, model: NearestExamples, n_evidence: int):
+        self.model, self.n_evidence, self.known = model, n_evidence, {}
+
+    def __call__(self, ids: list, offsets: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> list[tuple]:
+        """(score, nearest examples, telling words) of each document."""
+        own = [self.model.own.get(i) for i in ids]
+        spans = list(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
+        keys = [(o, xxhash.xxh3_128_digest(terms[a:b].tobytes() + counts[a:b].tobytes())) for o, (a, b) in zip(own, spans, strict=True)]
+        if len(self.known) > REMEMBER:
+            self.known.clear()
+        new = [k for k in {key: k for k, key in enumerate(keys)}.values() if keys[k] not in self.known]
+        for lo in range(0, len(new), TOGETHER):
+            some = new[lo : lo + TOGETHER]
+            documents = [(terms[a:b], counts[a:b]) for a, b in (spans[k] for k in some)]
+            without = [None if own[k] is None else np.array([own[k]]) for k in some]
+            for k, document, found in zip(some, documents, self.model.nearest(documents, without), strict=True):
+                self.known[keys[k]] = self._say(document, found)
+        return [self.known[key] for key in keys]
+
+    def _say(self, document, found):
+        model, n = self.model, self.n_evidence
+        near = [{"doc_id": int(model.index.ids[i]), "cosine": float(c), "toxic": int(model.labels[i])} for i, c in zip(found[0][:n], found[1][:n], strict=True)]
+        terms, counts = document
+        weight = (1 + np.log(counts)) * model.weights[terms] if n else np.zeros(0)
+        best = terms[np.argsort(-weight, kind="stable")[:n]] if n else []
+        return model.score(found), near, [model.vocabulary[int(t)].as_py() for t in best]
 
 
 SCORED = "doc_id long, score double, predicted int, neighbours array<struct<doc_id:long,cosine:double,toxic:int>>, words array<string>"
 
 
 def _judge(model: NearestExamples, n_evidence: int):
-    names = sorted(model.vocabulary, key=model.vocabulary.get)
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
 
     def run(batches):
-        known: dict = {}
+        judge = Judge(model, n_evidence)
         for batch in batches:
-            scores, near, words = [], [], []
-            for terms, counts in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                key = (*terms, -1, *counts)
-                if key not in known:
-                    if len(known) > 100_000:
-                        known.clear()
-                    score, at, sims = model.judge(terms, counts)
-                    top = [
-                        {"doc_id": int(model.index.ids[i]), "cosine": float(c), "toxic": int(model.index.labels[i])}
-                        for i, c in zip(at[:n_evidence], sims[:n_evidence], strict=True)
-                    ]
-                    known[key] = score, top, [names[t] for t in terms]
-                score, top, own = known[key]
-                scores.append(score)
-                near.append(top)
-                words.append(own)
+            lists = batch.column("terms")
+            offsets = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+            said = judge(batch.column("doc_id").to_pylist(), offsets, lists.flatten().to_numpy().astype(np.int64), batch.column("counts").flatten().to_numpy())
+            scores, near, words = zip(*said, strict=True) if said else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -276,10 +285,12 @@ def _judge(model: NearestExamples, n_evidence: int):
 def score_toxicity(docs: DataFrame, labels: DataFrame, n_evidence: int = 3) -> DataFrame:
     """(doc_id, score, predicted, neighbours, words): one row for each row of docs.
 
-    neighbours: the nearest examples with cosine and label; words: the words of
-    the document that the score rests on.  A null, empty or wordless text, and
-    any text without words of the index, has no neighbours and gets the share of
-    toxic documents among such examples.  Other columns of docs don't matter.
+    neighbours: the n_evidence nearest examples with cosine and label (ties by
+    id); words: the document's words with the largest weights.  A null, empty or
+    wordless text, and any text without a word of the examples, has no neighbours
+    and gets the share of toxic documents among the labelled ones.  Rows that
+    repeat an id are judged each by its own text.  Other columns of docs don't
+    matter; an empty table gives no rows.
     """
     model, vectors = fit_and_vectors(docs, labels)
     return vectors.mapInArrow(_judge(model, n_evidence), SCORED)
@@ -300,26 +311,25 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _clean_rows(model: NearestExamples):
     """The rows of a batch whose whole texts are not predicted to be toxic."""
-    find, get = re.compile(WORD).findall, model.vocabulary.get
 
     def run(batches):
-        known: dict = {}
+        judge = Judge(model, 0)
         for batch in batches:
-            keep = []
-            for text in batch.column("text").to_pylist():
-                hits = Counter(t for t in map(get, find(text.lower())) if t is not None) if text else {}
-                key = tuple(sorted(hits.items()))
-                if key not in known:
-                    if len(known) > 100_000:
-                        known.clear()
-                    known[key] = model.judge([t for t, _ in key], [n for _, n in key])[0] < 0.5
-                keep.append(known[key])
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            texts = batch.column("text")
+            for lo, hi in _groups(texts):
+                text, word, count = count_words(texts.slice(lo, hi - lo), model.vocabulary)
+                said = judge(batch.column("doc_id").slice(lo, hi - lo).to_pylist(), np.searchsorted(text, np.arange(hi - lo + 1)), word, count)
+                yield batch.slice(lo, hi - lo).filter(pa.array([s < 0.5 for s, _, _ in said], pa.bool_()))
 
     return run
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are not predicted to be toxic; each row is judged by its own text, where it lies."""
+    """The documents that are not predicted to be toxic; each row is judged by its own text, where it lies.
+
+    All columns stay as they are, whatever their names.  A null or wordless text
+    is kept unless most labelled documents are toxic; a null id or a repeated one
+    changes nothing; an empty table stays empty.
+    """
     model, _ = fit_and_vectors(docs, read_table(spark, sf_dir, "labels"))
     return docs.mapInArrow(_clean_rows(model), docs.schema)
