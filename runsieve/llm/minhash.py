@@ -10,11 +10,13 @@ found in two steps, neither of which lists the pairs of a band:
 
 1. stars: every class of a band against the band's smallest one;
 2. bands whose members still lie in different components are compared inside, in
-   tiles of TILE members; pairs across components whose signatures could belong
-   to a link are confirmed there, and of the links found those that span the
-   tile's components come out.
+   tiles of TILE members: first by signatures alone, which leaves the members
+   that could link across components; these meet again with their sets, and of
+   the links found those that span the tile's components come out.
 
-All candidates are confirmed on full shingle sets, in integers.
+All candidates are confirmed on full shingle sets, in integers.  Documents whose
+signatures agree on fewer than MIN_AGREE of 130 values are no candidates: a pair
+at exactly 0.8 falls below that with probability 1e-8.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ from .common import Forest, connected_components, materialise, mix64, read_table
 
 N_HASHES, ROWS, BANDS = 65, 5, 26
 SHINGLE_WORDS, PERCENT = 5, 80
-TILE = 1024
+#: Members of a tile's side, and shingles that one should hold.
+TILE, TILE_SHINGLES = 512, 2_000_000
 #: Of 130 values a pair at 0.8 agrees on 104 +- 4.6; below this it is no candidate (6 deviations).
 MIN_AGREE = 76
 WORD_CACHE = 300_000
@@ -131,11 +134,20 @@ def _sign(k: int):
 
 
 def _sets(k: int):
+    """(fp, s) of texts, each set once in a task."""
+
     def run(batches):
-        words = WordHashes()
+        words, seen = WordHashes(), set()
         for batch in batches:
-            sets = [shingle_set(t, k, words).tobytes() for t in text_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "s"])
+            fps, sets = [], []
+            for text in text_bytes(batch.column("text")):
+                s = shingle_set(text, k, words).tobytes()
+                fp = xxhash.xxh3_128_digest(s)
+                if fp not in seen:
+                    seen.add(fp)
+                    fps.append(fp)
+                    sets.append(s)
+            yield pa.RecordBatch.from_arrays([pa.array(fps, pa.binary()), pa.array(sets, pa.binary())], names=["fp", "s"])
 
     return run
 
@@ -162,23 +174,22 @@ def _linked(percent: int):
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    full = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")).hint("shuffle_hash"), "b")
-    full = full.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")).hint("shuffle_hash"), "a")
+    """Of pairs (a, fa, b, fb) the links (a, b)."""
+    full = pairs.join(sets.select(F.col("fp").alias("fb"), F.col("s").alias("sb")).hint("shuffle_hash"), "fb")
+    full = full.join(sets.select(F.col("fp").alias("fa"), F.col("s").alias("sa")).hint("shuffle_hash"), "fa")
     return full.select("a", "b", "sa", "sb").mapInArrow(_linked(percent), "a long, b long")
 
 
-def _tile_links(rows: dict, percent: int) -> list[tuple[int, int]]:
-    """Links across components within one tile of a band, thinned to those that span them.
+def _open_pairs(rows: dict, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (x, y) across components within one tile of a band that sizes and signatures leave open.
 
-    A pair is looked at only in the first band that both hold.  Pairs that their
-    sizes and signatures leave open are confirmed on full sets: few one by one,
-    many by products of the sets' incidence matrix.
+    A pair is looked at only in the first band that both hold.
     """
     side, comp, n, sig, bands = (rows[c] for c in ("side", "comp", "n", "sig", "bands"))
     diagonal = side[0] == 2
     left = np.flatnonzero(side != 1)
     right = left if diagonal else np.flatnonzero(side == 1)
-    xs, ys = [], []
+    xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for x in left:
         y = right[right > x] if diagonal else right
         y = y[comp[y] != comp[x]]
@@ -188,9 +199,18 @@ def _tile_links(rows: dict, percent: int) -> list[tuple[int, int]]:
             y = y[bands[x][(bands[y] == bands[x]).argmax(1)] == rows["band"]]
             xs.append(np.full(len(y), x))
             ys.append(y)
-    if not xs:
+    return np.concatenate(xs), np.concatenate(ys)
+
+
+def _tile_links(rows: dict, percent: int) -> list[tuple[int, int]]:
+    """Links across components within one tile of a band, thinned to those that span them.
+
+    Open pairs are confirmed on full sets: few one by one, many by products of
+    the sets' incidence matrix.
+    """
+    x, y = _open_pairs(rows, percent)
+    if not len(x):
         return []
-    x, y = np.concatenate(xs), np.concatenate(ys)
     used, at = np.unique(np.concatenate([x, y]), return_inverse=True)
     x, y = at[: len(x)], at[len(x) :]
     sets = [np.frombuffer(rows["s"][k], np.uint64) for k in used]
@@ -218,45 +238,63 @@ def _tile_links(rows: dict, percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def _across(percent: int):
-    """_tile_links of every tile; rows come sorted by (band, i, j).
+def _columns(t: pa.Table) -> dict:
+    out = {c: t.column(c).to_numpy() for c in ("side", "comp", "n", "id")}
+    out["bands"] = t.column("bands").combine_chunks().flatten().to_numpy().reshape(t.num_rows, BANDS)
+    out["sig"] = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+    if "s" in t.column_names:
+        out["s"] = np.array(t.column("s").to_pylist(), object)
+    return out
+
+
+def _tiles(batches):
+    """(table, columns) of every tile with two rows or more; rows come sorted by (band, i, j).
 
     side is 0, 1, or 2 on the diagonal, where both sides are the same rows.
     """
+    held = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        held = t if held is None else pa.concat_tables([held, t])
+        key = np.stack([held.column(c).to_numpy() for c in ("band", "i", "j")])
+        start = 0
+        for end in np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1:
+            if end - start > 1:
+                part = held.slice(start, end - start)
+                yield part, _columns(part) | {"band": key[0, start]}
+            start = end
+        held = held.slice(start).combine_chunks() if start else held
+    if held is not None and held.num_rows > 1:
+        yield held, _columns(held) | {"band": held.column("band")[0].as_py()}
+
+
+def _open_members(percent: int):
+    """The rows of each tile that stand in an open pair."""
 
-    def columns(t):
-        out = {c: t.column(c).to_numpy() for c in ("side", "comp", "n", "id")}
-        out["bands"] = t.column("bands").combine_chunks().flatten().to_numpy().reshape(t.num_rows, BANDS)
-        out["sig"] = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(t.num_rows, -1)
-        return out | {"s": np.array(t.column("s").to_pylist(), object)}
+    def run(batches):
+        for table, rows in _tiles(batches):
+            some = np.unique(np.concatenate(_open_pairs(rows, percent)))
+            if len(some):
+                yield from table.take(pa.array(some)).combine_chunks().to_batches()
 
-    def groups(batches):
-        held = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            held = t if held is None else pa.concat_tables([held, t])
-            key = np.stack([held.column(c).to_numpy() for c in ("band", "i", "j")])
-            cut = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
-            start = 0
-            if len(cut):
-                cols = columns(held.slice(0, cut[-1]))
-                for end in cut:
-                    if end - start > 1:
-                        yield {c: v[start:end] for c, v in cols.items()} | {"band": key[0, start]}
-                    start = end
-                held = held.slice(start)
-        if held is not None and held.num_rows > 1:
-            yield columns(held) | {"band": held.column("band")[0].as_py()}
+    return run
+
+
+def _across(percent: int):
+    """_tile_links of every tile."""
+
+    def batch(found):
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
     def run(batches):
         found: list = []
-        for rows in groups(batches):
+        for _, rows in _tiles(batches):
             found += _tile_links(rows, percent)
             if len(found) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+                yield batch(found)
                 found = []
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+            yield batch(found)
 
     return run
 
@@ -285,48 +323,49 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
     classes = materialise(classes, "minhash_classes")
     twins = some.select("doc_id", "fp").join(classes.filter("n > 1"), "fp").filter("doc_id <> rep")
     twins = materialise(twins.select("doc_id", "rep"), "minhash_twins")
-    # Rows of one id and one set stand as often as they repeat: one is enough.
-    reps = some.join(classes.select("fp", F.col("rep").alias("doc_id")), ["fp", "doc_id"]).select(
-        F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "sig"
-    )
-    reps = materialise(reps, "minhash_reps")
+    # A class is one row, however often its rows repeat.
+    reps = some.join(classes.select("fp", F.col("rep").alias("doc_id")), ["fp", "doc_id"]).dropDuplicates(["fp"])
+    reps = materialise(reps.select("fp", F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "sig"), "minhash_reps")
 
-    banded = reps.select("id", F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.count("*").alias("m"))
-    hubs = materialise(hubs.filter("hub <> last").select("band", "hub", "m"), "minhash_hubs")
-    met = materialise(banded.join(hubs, "band"), "minhash_met")
-    stars = met.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    stars = materialise(stars, "minhash_stars")
+    banded = reps.select("fp", "id", "n", F.explode("bands").alias("band"))
+    hubs = banded.groupBy("band").agg(F.min(F.struct("id", "fp")).alias("hub"), F.count("*").alias("m"), F.sum("n").alias("w"))
+    hubs = materialise(hubs.filter("m > 1").select("band", "hub", "m", "w"), "minhash_hubs")
+    met = materialise(banded.drop("n").join(hubs, "band"), "minhash_met")
+    stars = met.filter("fp <> hub.fp").select(F.col("hub.id").alias("a"), F.col("hub.fp").alias("fa"), F.col("id").alias("b"), F.col("fp").alias("fb"))
+    stars = materialise(stars.distinct(), "minhash_stars")
 
     wanted = met.select(F.col("id").alias("doc_id")).distinct()
     texts = docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi")
-    sets = materialise(texts.mapInArrow(_sets(shingle_words), "doc_id long, s binary"), "minhash_sets")
+    sets = materialise(texts.mapInArrow(_sets(shingle_words), "fp binary, s binary"), "minhash_sets")
+    repeats = sets.groupBy("fp").count().filter("count > 1").limit(1).count()
+    if repeats:  # rows that repeat an id, in several tasks
+        sets = materialise(sets.dropDuplicates(["fp"]), "minhash_sets")
     links = materialise(_confirm(stars, sets, percent), "minhash_links")
     first = connected_components(links)
 
     # Bands that the stars left in several components.
-    where = met.join(first, "id", "left").select("band", "id", "m", F.coalesce("component", "id").alias("comp"))
+    where = met.join(first, "id", "left").select("band", "fp", "id", "m", "w", F.coalesce("component", "id").alias("comp"))
     where = materialise(where, "minhash_where")
     mixed = where.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("band")
-    inside = where.join(mixed, "band", "left_semi").join(reps, "id")
-    inside = inside.join(sets.withColumnRenamed("doc_id", "id"), "id")
-    tiles = F.ceil(F.col("m") / TILE).cast("int")
-    inside = inside.withColumn("t", tiles).withColumn("c", F.pmod(F.xxhash64("id"), F.col("t")).cast("int"))
+    inside = where.join(mixed, "band", "left_semi").join(reps.drop("id"), "fp")
+    tiles = F.greatest(F.ceil(F.col("m") / TILE), F.ceil(F.col("w") / TILE_SHINGLES)).cast("int")
+    inside = inside.withColumn("t", tiles).withColumn("c", F.pmod(F.xxhash64("fp"), F.col("t")).cast("int"))
     inside = inside.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
     inside = inside.select(
         "band",
         F.least("c", "o").alias("i"),
         F.greatest("c", "o").alias("j"),
         F.when(F.col("c") == F.col("o"), 2).when(F.col("c") < F.col("o"), 0).otherwise(1).alias("side"),
+        "fp",
         "id",
         "n",
         "comp",
         "sig",
         "bands",
-        "s",
     )
-    inside = inside.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    more = inside.mapInArrow(_across(percent), "a long, b long")
+    tiled = lambda rows: rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    open_ = materialise(tiled(inside).mapInArrow(_open_members(percent), inside.schema), "minhash_open")
+    more = tiled(open_.join(sets, "fp")).mapInArrow(_across(percent), "a long, b long")
     links = materialise(links.unionByName(more), "minhash_links")
 
     # Repeated ids with different sets tie their classes together.
@@ -345,6 +384,30 @@ def op9_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, 0.8), the one with the smallest id."""
+    """One document of each group of near-duplicates (five words, 0.8), the one with the smallest id.
+
+    All columns stay as they are, whatever their names.  Rows without words or
+    without an id are kept; rows that repeat an id go or stay together; an empty
+    table stays empty.
+    """
     gone = near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+
+
+_WORD, _UPPER, _LOWER = r"[^\x20\x09-\x0D]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The same as op9_minmax in DuckDB: pairs that share a shingle, and all that is reachable over links.
+ORACLE = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN w ELSE w[i : i + 3] END AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s a JOIN s b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * pairs.n >= 80 * (x.n + y.n - pairs.n)),
+reach AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+low AS (SELECT a AS doc_id, min(b) AS b FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id,
+  least(doc_id, coalesce(b, doc_id)) = doc_id AS kept
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN low USING (doc_id)
+"""

@@ -19,4 +19,5 @@ ORACLE_SQL = {
     "op1_mix": mixing.ORACLE,
     "op5_search": search.ORACLE,
     "op6_warc": warc.ORACLE,
+    "op9_minmax": minhash.ORACLE,
 }

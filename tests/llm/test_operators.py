@@ -295,6 +295,20 @@ def test_near_duplicates_are_exact(spark, monkeypatch):
     assert got == brute_components(rows, 5)
 
 
+def test_repeats_make_one_candidate(spark, monkeypatch):
+    """200 copies of two rows that link are one pair of sets, whatever the ids of the copies."""
+    rng = random.Random(3)
+    one = [f"w{rng.randint(0, 9999)}" for _ in range(100)]
+    two = [*one[:-1], "other"]
+    seen = []
+    monkeypatch.setattr(minhash, "_confirm", lambda pairs, sets, p, f=minhash._confirm: seen.append((pairs.count(), sets.count())) or f(pairs, sets, p))
+    for ids in ([7, 5], list(range(5, 405))):
+        docs = spark.createDataFrame([(ids[k % len(ids)], " ".join(two if k % 2 else one)) for k in range(400)], "doc_id long, text string").repartition(4)
+        got = {(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(docs).collect()}
+        assert got == {(i, 5) for i in ids}
+    assert seen == [(1, 2), (1, 2)]
+
+
 def test_tile_links_by_matrix_and_by_pair():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 60, 50)).astype(np.uint64) for _ in range(40)]
@@ -315,6 +329,9 @@ def test_tile_links_by_matrix_and_by_pair():
             x, y = label[a], label[b]
             label = {k: min(x, y) if v in (x, y) else v for k, v in label.items()}
     forest = minhash.Forest()
+    x, y = minhash._open_pairs(rows, 60)
+    size = rows["n"]
+    assert {*zip(x.tolist(), y.tolist())} == {(a, b) for a in range(40) for b in range(a + 1, 40) if 100 * min(size[a], size[b]) >= 60 * max(size[a], size[b])}
     for a, b in minhash._tile_links(rows, 60):
         forest.join(a, b)
     assert {k: forest.root(k) for k in range(40)} == label
