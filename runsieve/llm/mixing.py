@@ -21,7 +21,7 @@ from .common import materialise, read_table
 
 #: Rows in a block, and rows that a hash range should hold.
 BLOCK_ROWS = 64
-RANGE_ROWS = 2_000
+RANGE_ROWS = 1_000
 SEED = "mix-1"
 
 #: The fold: at each slot, of the sources whose next block is released, the one
@@ -52,11 +52,13 @@ def default_weight(source: Column) -> Column:
 
 
 def schedule(sources: DataFrame) -> DataFrame:
-    """One period for the rows (source, weight, n_rows); weights below 1 raise.
+    """One period for the rows (source, weight, n_rows), as one row; weights below 1 raise.
 
-    Returns per source: weight, q (slots in a period), slots (its slots in one
-    period, ascending), and peers: (weight, n_rows, slots) of every source.
+    Returns q (slots in a period), peers: (source, weight, n_rows, slots, done)
+    of every source, where slots are its slots in one period, ascending, and
+    done[t] counts those before slot t.
     Sources are few (their names fit a row); their rows are not touched here.
+    No sources give no row.
     """
     one = sources.select("source", F.col("weight").cast("long").alias("weight"), "n_rows").groupBy()
     one = one.agg(F.array_sort(F.collect_list(F.struct("source", "weight", "n_rows"))).alias("s"))
@@ -64,15 +66,15 @@ def schedule(sources: DataFrame) -> DataFrame:
     one = one.filter(F.expr("forall(s, x -> coalesce(x.weight >= 1, false)) or raise_error('weights must be at least 1')"))
     one = one.withColumn("picked", F.expr(_FOLD))
     slots = "filter(transform(picked, (p, t) -> if(p = j, cast(t AS long), NULL)), v -> v IS NOT NULL)"
-    one = one.withColumn(
-        "peers",
+    done = "transform(sequence(0L, q - 1), t -> cast(size(filter(y.slots, v -> v < t)) AS long))"
+    one = one.withColumn("p", F.expr(f"transform(s, (x, j) -> named_struct('x', x, 'slots', {slots}))"))
+    return one.select(
+        "q",
         F.expr(
-            "transform(s, (x, j) -> named_struct('source', x.source, 'weight', x.weight, 'n_rows', x.n_rows, "
-            f"'slots', {slots}))"
-        ),
+            "transform(p, y -> named_struct('source', y.x.source, 'weight', y.x.weight, 'n_rows', y.x.n_rows, "
+            f"'slots', y.slots, 'done', {done}))"
+        ).alias("peers"),
     )
-    own = one.select("q", "peers", F.explode("peers").alias("own"))
-    return own.select("own.source", "own.weight", "own.n_rows", "own.slots", "q", "peers")
 
 
 def mix(
@@ -104,6 +106,13 @@ def mix(
     source counts as the source ''.  A null id is hashed as ''.  An empty table
     gives no rows.
     """
+    return _placed(docs, weight, id_col, source_col, block_rows, range_rows, seed, keep).select(
+        "id", "source", "source_row", "block_no", "slot", "position", "in_mix", *[F.col(f"kept.`{c}`") for c in keep]
+    )
+
+
+def _placed(docs, weight, id_col, source_col, block_rows, range_rows, seed, keep) -> DataFrame:
+    """mix() with the kept columns in one struct `kept`."""
     rows = docs.select(
         F.col(id_col).alias("id"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
@@ -117,39 +126,29 @@ def mix(
 
     per_range = rows.groupBy("source", "r").agg(F.count("*").alias("n"))
     per_range = materialise(per_range, "mix_ranges")
-    before = Window.partitionBy("source").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_range.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    before = Window.partitionBy("source").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)  # ranges, not rows
+    offsets = per_range.select("source", "r", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     totals = per_range.groupBy("source").agg(F.sum("n").alias("n_rows"))
-    plan = schedule(totals.withColumn("weight", weight(F.col("source"))))
-    # Only the ranges of a source meet here, never its rows.
-    offsets = materialise(offsets.join(plan, "source"), "mix_plan")
+    # One row, whatever the number of documents; it reaches the tasks as a value.
+    plan = materialise(schedule(totals.withColumn("weight", weight(F.col("source")))), "mix_plan")
+    spent = f"""array_min(transform(peers, p -> p.n_rows div {block_rows} div p.weight * q
+      + p.slots[cast(p.n_rows div {block_rows} % p.weight AS int)]))"""
+    plan = plan.select(F.struct("q", F.expr(spent).alias("first_spent"), "peers").alias("plan")).scalar()
 
     within = Window.partitionBy("source", "r").orderBy("h", "id")
     numbered = rows.withColumn("k", F.row_number().over(within) - 1)
-    out = numbered.join(offsets.drop("n"), ["source", "r"])
+    out = numbered.join(offsets.hint("merge"), ["source", "r"]).withColumn("plan", plan)
     out = out.withColumn("source_row", F.col("before") + F.col("k"))
     out = out.withColumn("block_no", F.floor(F.col("source_row") / block_rows))
-    out = out.withColumn("turn", F.expr("block_no div size(slots)"))
-    out = out.withColumn("slot", F.col("turn") * F.col("q") + F.expr("slots[cast(block_no % size(slots) AS int)]"))
+    out = out.withColumn("own", F.expr("filter(plan.peers, p -> p.source = source)[0].slots"))
+    turn, place = F.expr("block_no div size(own)"), F.expr("own[cast(block_no % size(own) AS int)]")
+    out = out.withColumn("slot", turn * F.col("plan.q") + place)
     # Rows ahead: of each source, its blocks in earlier slots, or all its rows.
     ahead = F.expr(
-        f"""aggregate(peers, 0L, (t, p) -> t + least(p.n_rows, {block_rows}L * (
-              (slot div q) * p.weight + size(filter(p.slots, v -> v < slot % q)))))"""
-    )
-    first_spent = F.expr(
-        f"""array_min(transform(peers, p -> p.n_rows div {block_rows} div p.weight * q
-              + p.slots[cast(p.n_rows div {block_rows} % p.weight AS int)]))"""
-    )
-    return out.select(
-        "id",
-        "source",
-        "source_row",
-        "block_no",
-        "slot",
-        (ahead + F.col("source_row") % block_rows).alias("position"),
-        (F.col("slot") < first_spent).alias("in_mix"),
-        *[F.col(f"kept.`{c}`") for c in keep],
+        f"""aggregate(plan.peers, 0L, (t, p) -> t + least(p.n_rows, {block_rows}L * (
+              (slot div plan.q) * p.weight + p.done[cast(slot % plan.q AS int)])))"""
     )
+    return out.withColumns({"position": ahead + F.col("source_row") % block_rows, "in_mix": F.col("slot") < F.col("plan.first_spent")})
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,12 +156,15 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows of docs, in the order of the mixed stream (rows of one id stand together)."""
-    place = mix(docs).groupBy("id").agg(F.min("position").alias("position"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    keyed = rows.join(place, F.col("row.doc_id").eqNullSafe(F.col("id")))
-    ordered = keyed.repartitionByRange("position", "id").sortWithinPartitions("position", "id")
-    return ordered.select("row.*")
+    """All rows of docs, in the order of the mixed stream.
+
+    All columns stay as they are, whatever their names; rows without an id, or
+    that repeat one, each have a place of their own.  An empty table stays empty.
+    """
+    columns = tuple(docs.columns)
+    placed = _placed(docs, default_weight, "doc_id", "source", BLOCK_ROWS, RANGE_ROWS, SEED, columns)
+    ordered = placed.select("position", "kept").repartitionByRange("position").sortWithinPartitions("position")
+    return ordered.select(*[F.col(f"kept.`{c}`") for c in columns])
 
 
 #: The same in DuckDB: the schedule of one period by a recursive query.
