@@ -1,11 +1,14 @@
 """Operator 6: WARC archives in which equal payloads are stored once.
 
-Headers (id, digest) are shuffled by payload digest; of the records with one
-payload the largest id is the response and the others become revisits.  The
-records are written with fresh headers, one gzip member each, and reading joins
-the revisits to their responses again by digest.  A digest that most records
-share is one row of the duplicates' table; the records stream past it and are
-split by the skew handling of adaptive execution, never gathered.
+Payloads are packed where they lie, into staged records in the shared folder;
+only headers (digest, page_id, url, place) are shuffled, by payload digest.  Of
+the records with one payload the largest id is the response and the others
+become revisits.  The headers then go back to their staged files: packed
+responses are copied as they are, revisits are written anew with fresh headers,
+one gzip member each.  Reading joins the revisits to their responses again by
+digest.  A digest that most records share is one row of the duplicates' table;
+the headers stream past it and are split by the skew handling of adaptive
+execution, never gathered.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from __future__ import annotations
 import base64
 import datetime
 import hashlib
+import re
 import uuid
 import zlib
 
@@ -46,44 +50,101 @@ def _record(kind: str, headers: list[tuple[str, str]], block: bytes) -> bytes:
     return z.compress(text.encode() + block + b"\r\n\r\n") + z.flush()
 
 
+#: What stands for itself in an escaped url must be escaped too, so that no two urls give one header.
+_ESCAPED = re.compile("%(?=0[AaDd]|25)")
+
+
 def _uri(url: str | None, page_id) -> str:
     """A header can't hold line ends: those of a url are escaped; no url gives a urn of the id."""
-    return f"urn:x-page:{page_id}" if url is None else url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A") if "\n" in url or "\r" in url else url
+    if url is None:
+        return f"urn:x-page:{page_id}"
+    return _ESCAPED.sub("%25", url).replace("\r", "%0D").replace("\n", "%0A")
 
 
-def _write(folder: str, date: str):
+def _page_record(page, url, digest: str, date: str, payload: bytes | None, size: int, response=None) -> bytes:
+    """A response with its payload, or without one a revisit of the page `response`."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+    block = http if payload is None else http + payload
+    headers = [
+        ("WARC-Record-ID", record_id(page, digest)),
+        ("WARC-Date", date),
+        ("WARC-Target-URI", _uri(url, page)),
+        ("WARC-Payload-Digest", f"sha1:{_base32(digest)}"),
+        ("WARC-Block-Digest", f"sha1:{base64.b32encode(hashlib.sha1(block).digest()).decode()}"),
+        ("Content-Type", "application/http; msgtype=response"),
+    ]
+    if page is not None:
+        headers.append(("X-Page-Id", str(page)))
+    if payload is None:
+        headers += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(response, digest))]
+    return _record("response" if payload is not None else "revisit", headers, block)
+
+
+STAGED = "staged string, at long, size long, page_id long, url string, digest string, payload_bytes long"
+
+
+def _stage(folder: str, date: str):
+    """Pack every payload as a response, in a file of this attempt's own; returns the headers."""
+
     def run(batches):
-        fs, path = open_fs(folder)
-        part = TaskContext.get().partitionId()
-        name, n = f"part-{part:05d}.warc.gz", 0
-        own = f"{path}/{name}.{uuid.uuid4().hex}"
+        fs, path = open_fs(f"{folder}/staged")
+        name, at = f"{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}", 0
         fs.create_dir(path, recursive=True)
-        with fs.open_output_stream(own, compression=None) as out:
-            info = f"software: runsieve\r\nformat: WARC File Format 1.1\r\nisPartOf: {name}\r\n".encode()
-            fresh = [("WARC-Date", date), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>")]
-            out.write(_record("warcinfo", [*fresh, ("Content-Type", "application/warc-fields")], info))
+        with fs.open_output_stream(f"{path}/{name}", compression=None) as out:
             for batch in batches:
-                cols = (batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "response_id"))
-                for page, url, payload, digest, response in zip(*cols, strict=True):
-                    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-                    revisit = response is not None and response != page
-                    block = http if revisit else http + payload
-                    headers = [
-                        ("WARC-Record-ID", record_id(page, digest)),
-                        ("WARC-Date", date),
-                        ("WARC-Target-URI", _uri(url, page)),
-                        ("WARC-Payload-Digest", f"sha1:{_base32(digest)}"),
-                        ("WARC-Block-Digest", f"sha1:{base64.b32encode(hashlib.sha1(block).digest()).decode()}"),
-                        ("Content-Type", "application/http; msgtype=response"),
-                    ]
-                    if page is not None:
-                        headers.append(("X-Page-Id", str(page)))
-                    if revisit:
-                        headers += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(response, digest))]
-                    out.write(_record("revisit" if revisit else "response", headers, block))
-                    n += 1
-        fs.move(own, f"{path}/{name}")
-        yield pa.RecordBatch.from_pydict({"file": pa.array([name]), "n_records": pa.array([n], pa.int64())})
+                rows: list = []
+                for page, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
+                    payload = (html or "").encode()
+                    digest = hashlib.sha1(payload).hexdigest()
+                    packed = _page_record(page, url, digest, date, payload, len(payload))
+                    out.write(packed)
+                    rows.append((name, at, len(packed), page, url, digest, len(payload)))
+                    at += len(packed)
+                if rows:
+                    kinds = [pa.string() if c in ("staged", "url", "digest") else pa.int64() for c in _names(STAGED)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=_names(STAGED))
+
+    return run
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _write(folder: str, date: str):
+    """An archive for each staged file, whose headers come sorted by their place."""
+
+    def run(batches):
+        fs, path = open_fs(folder)
+        name = own = out = stage = staged = None
+        n = 0
+
+        def done():
+            out.close()
+            stage.close()
+            fs.move(own, f"{path}/{name}")
+            return pa.RecordBatch.from_pydict({"file": pa.array([name]), "n_records": pa.array([n], pa.int64())})
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["staged"] != staged:
+                    if out is not None:
+                        yield done()
+                    staged, n = row["staged"], 0
+                    name = f"part-{staged}.warc.gz"
+                    own = f"{path}/{name}.{uuid.uuid4().hex}"
+                    out, stage = fs.open_output_stream(own, compression=None), fs.open_input_file(f"{path}/staged/{staged}")
+                    info = f"software: runsieve\r\nformat: WARC File Format 1.1\r\nisPartOf: {name}\r\n".encode()
+                    fresh = [("WARC-Date", date), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>")]
+                    out.write(_record("warcinfo", [*fresh, ("Content-Type", "application/warc-fields")], info))
+                page, response = row["page_id"], row["response_id"]
+                if response is not None and response != page:
+                    out.write(_page_record(page, row["url"], row["digest"], date, None, row["payload_bytes"], response))
+                else:
+                    out.write(stage.read_at(row["size"], row["at"]))
+                n += 1
+        if out is not None:
+            yield done()
 
     return run
 
@@ -96,21 +157,22 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES, da
     response and the others are revisits of it; a row without page_id revisits
     if any equal one has an id.  Rows that repeat both page_id and payload have
     the same place: if it is the largest, each of them is a response.  Other
-    columns of pages don't matter; an empty table gives files without records.
+    columns of pages don't matter; an empty table gives no files.
     """
     date = date or datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
-    rows = pages.select(
-        F.col("page_id").cast("long").alias("page_id"),
-        "url",
-        F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"),
-    ).withColumn("digest", F.sha1("payload"))
-    large = F.octet_length("payload") >= min_bytes
-    shared = rows.filter(large).groupBy("digest").agg(F.max("page_id").alias("response_id"), F.count("*").alias("n"))
+    spark = pages.sparkSession
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    heads = materialise(rows.mapInArrow(_stage(folder, date), STAGED), "warc_heads")
+    large = F.col("payload_bytes") >= min_bytes
+    shared = heads.filter(large).groupBy("digest").agg(F.max("page_id").alias("response_id"), F.count("*").alias("n"))
     shared = materialise(shared.filter("n > 1").drop("n"), "warc_shared")
-    rows = rows.join(shared.hint("shuffle_hash"), "digest", "left")
-    files = rows.mapInArrow(_write(folder, date), "file string, n_records long")
-    files.write.parquet(f"{folder}/files")
-    return pages.sparkSession.read.parquet(f"{folder}/files")
+    heads = heads.join(shared.hint("shuffle_hash"), "digest", "left")
+    n_files = max(1, heads.select("staged").distinct().count())
+    heads = heads.repartition(n_files, "staged").sortWithinPartitions("staged", "at")
+    heads.mapInArrow(_write(folder, date), "file string, n_records long").write.parquet(f"{folder}/files")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/staged")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return spark.read.parquet(f"{folder}/files")
 
 
 def parse_records(stream):
