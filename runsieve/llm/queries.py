@@ -19,5 +19,6 @@ ORACLE_SQL = {
     "op1_mix": mixing.ORACLE,
     "op5_search": search.ORACLE,
     "op6_warc": warc.ORACLE,
+    "op7_vectors": vectors.ORACLE,
     "op9_minmax": minhash.ORACLE,
 }

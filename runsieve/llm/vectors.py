@@ -13,10 +13,12 @@ pairs themselves.
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -83,7 +85,8 @@ def _pack(folder: str):
             v = np.frombuffer(b"".join(part.column("v").to_pylist()), np.float64).reshape(part.num_rows, -1)
             u, q, s, e = quantise(v)
             order = np.argsort(s, kind="stable")
-            arrays = [part.column(c).to_numpy()[order] for c in ("cls", "rep", "n")]
+            key = np.frombuffer(b"".join(part.column("key").to_pylist()), "V16")
+            arrays = [key[order], *(part.column(c).to_numpy()[order] for c in ("rep", "n"))]
             arrays += [s[order], e[order], q[order], u[order]]
             own = f"{path}/block-{b}.{uuid.uuid4().hex}"
             with fs.open_output_stream(own, compression=None) as out:
@@ -99,11 +102,14 @@ def _pack(folder: str):
 
 
 def load_block(fs, path: str, b: int):
+    """The arrays of a block, or None where no vector fell into it."""
+    if fs.get_file_info(f"{path}/block-{b}").type == pafs.FileType.NotFound:
+        return None
     with fs.open_input_stream(f"{path}/block-{b}", compression=None) as f:
         data = f.read()
     n, d = np.frombuffer(data, "<i8", 2)
     at, out = 16, []
-    for kind, width in ((np.int64, 1), (np.int64, 1), (np.int64, 1), (np.float64, 1), (np.float64, 1), (np.int8, d), (np.float64, d)):
+    for kind, width in ((np.dtype("V16"), 1), (np.int64, 1), (np.int64, 1), (np.float64, 1), (np.float64, 1), (np.int8, d), (np.float64, d)):
         count = int(n * width)
         a = np.frombuffer(data, kind, count, at)
         at += count * a.itemsize
@@ -147,26 +153,31 @@ def _settle(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
-FOUND = "a long, b long, n long"
+FOUND = "key binary, a long, b long, n long"
 
 
 def _compare(folder: str, threshold: float):
-    """For each strip (i, first, last): (class, null, links) and (rep, rep, null) rows."""
+    """For each strip (i, first, last): (key, null, null, links) of classes and (null, rep, rep, null) of links that span."""
 
     def strip(fs, path, i, first, last):
         left = load_block(fs, path, i)
-        others = [left if j == i else load_block(fs, path, j) for j in range(first, last + 1)]
-        blocks = [left, *(o for j, o in zip(range(first, last + 1), others, strict=True) if j != i)]
-        starts, base = {}, len(left[0])
+        if left is None:
+            return
+        blocks, starts, base = [left], {i: 0}, len(left[0])
         for j in range(first, last + 1):
-            starts[j] = 0 if j == i else base
-            base += 0 if j == i else len(others[j - first][0])
-        cls, rep, weight = (np.concatenate([b[k] for b in blocks]) for k in range(3))
+            right = left if j == i else load_block(fs, path, j)
+            if right is not None and j != i:
+                starts[j], base = base, base + len(right[0])
+                blocks.append(right)
+        order_of = [i, *(j for j in starts if j != i)]
+        key, rep, weight = (np.concatenate([b[k] for b in blocks]) for k in range(3))
         order = np.argsort(rep, kind="stable")  # the label of a component is the place of its smallest id
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         label, n = np.arange(len(order)), np.zeros(len(order), np.int64)
-        for j, right in zip(range(first, last + 1), others, strict=True):
+        for j, right in zip(order_of, blocks, strict=True):
+            if not first <= j <= last:
+                continue
             for a, b in links_between(left, right, threshold, j == i):
                 b = b + starts[j]
                 n += np.bincount(a, weight[b], len(n)).astype(np.int64) + np.bincount(b, weight[a], len(n)).astype(np.int64)
@@ -174,9 +185,10 @@ def _compare(folder: str, threshold: float):
         own = np.flatnonzero(n)
         moved = np.flatnonzero(label != np.arange(len(label)))
         none = lambda k: pa.nulls(k, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(cls[own]), none(len(own)), pa.array(n[own])], names=["a", "b", "n"])
-        ends = pa.array(rep[order[moved]]), pa.array(rep[order[label[moved]]])
-        yield pa.RecordBatch.from_arrays([*ends, none(len(moved))], names=["a", "b", "n"])
+        counted = [pa.array([bytes(x) for x in key[own]], pa.binary()), none(len(own)), none(len(own)), pa.array(n[own])]
+        yield pa.RecordBatch.from_arrays(counted, names=["key", "a", "b", "n"])
+        ends = [pa.array(rep[order[moved]]), pa.array(rep[order[label[moved]]])]
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(moved), pa.binary()), *ends, none(len(moved))], names=["key", "a", "b", "n"])
 
     def run(batches):
         fs, path = open_fs(folder)
@@ -187,6 +199,20 @@ def _compare(folder: str, threshold: float):
     return run
 
 
+def _strips(spark: SparkSession, begin: int, blocks: int, strip: int) -> DataFrame:
+    """(i, first, last): each block with those from itself on, `strip` at a time, by arithmetic alone."""
+    across = -(-blocks // strip)
+    id_, n = F.col("id"), F.lit(across)
+    i = F.floor(id_ / n)
+    first = i + (id_ % n) * strip
+    rows = spark.range(blocks * across).select(i.cast("int").alias("i"), first.cast("int").alias("first")).filter(F.col("first") < blocks)
+    return rows.select(
+        (F.col("i") + begin).alias("i"),
+        (F.col("first") + begin).alias("first"),
+        (F.least(F.col("first") + strip, F.lit(blocks)) - 1 + begin).cast("int").alias("last"),
+    )
+
+
 def near_duplicates(
     vectors: DataFrame, threshold: float = THRESHOLD, block_rows: int = BLOCK, strip: int = STRIP
 ) -> DataFrame:
@@ -208,47 +234,34 @@ def near_duplicates(
     classes = keyed.filter("key IS NOT NULL").groupBy("key").agg(
         F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("dim").alias("dim")
     )
-    classes = materialise(classes.withColumn("cls", F.xxhash64("key")), "vec_classes")
-    sizes = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    classes = materialise(classes, "vec_classes")
+    sizes = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # lengths, not vectors
     first, count = {}, 0
     for dim in sorted(sizes):
         first[dim] = (count, -(-sizes[dim] // block_rows))
         count += first[dim][1]
     folder = scratch(spark, "vec_blocks")
-    found = None
+    found = spark.createDataFrame([], FOUND)
     if count:
         own = F.coalesce(*[
-            F.when(F.col("dim") == d, F.lit(at) + F.pmod(F.col("cls"), F.lit(k)).cast("int")) for d, (at, k) in first.items()
+            F.when(F.col("dim") == d, F.lit(at) + F.pmod(F.xxhash64("key"), F.lit(k)).cast("int")) for d, (at, k) in first.items()
         ])
         one = keyed.select("key", "v", "vec_id").join(classes, "key").filter("vec_id = rep").dropDuplicates(["key"])
-        blocks = one.select(own.alias("block"), "cls", "rep", "n", "v").repartitionById(count, F.col("block"))
-        there = materialise(blocks.mapInArrow(_pack(folder), "block int, rows long, task int"), "vec_index")
-        at = {r["block"] for r in there.select("block").collect()}  # blocks, not vectors
-        strips = []
-        for begin, k in first.values():
-            for i in range(begin, begin + k):
-                js = [j for j in range(i, begin + k) if j in at]
-                for lo in range(0, len(js), strip):
-                    run = js[lo : lo + strip]
-                    if i in at and run == list(range(run[0], run[-1] + 1)):
-                        strips.append((i, run[0], run[-1]))
-                    elif i in at:
-                        strips += [(i, j, j) for j in run]
-        strips = spark.createDataFrame(strips, "i int, first int, last int")
-        found = strips.repartition(len(at) * 2, "i", "first").mapInArrow(_compare(folder, threshold), FOUND)
-        found = materialise(found, "vec_found")
-    if found is None:
-        found = spark.createDataFrame([], FOUND)
-    links = found.filter("n IS NOT NULL").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("links"))
+        blocks = one.select(own.alias("block"), "key", "rep", "n", "v").repartitionById(count, F.col("block"))
+        materialise(blocks.mapInArrow(_pack(folder), "block int, rows long, task int"), "vec_index")
+        strips = [_strips(spark, begin, k, strip) for begin, k in first.values()]
+        strips = functools.reduce(DataFrame.unionByName, strips).repartition(count * 2, "i", "first")
+        found = materialise(strips.mapInArrow(_compare(folder, threshold), FOUND), "vec_found")
+    links = found.filter("n IS NOT NULL").groupBy("key").agg(F.sum("n").alias("links"))
     parts = connected_components(found.filter("b IS NOT NULL").select("a", "b"))
     # Rows that repeat an id with other vectors tie their classes together.
-    rows = keyed.select("vec_id", "key").join(classes.select("key", "rep", F.col("n").alias("twins"), "cls"), "key", "left")
+    rows = keyed.select("vec_id", "key").join(classes.select("key", "rep", F.col("n").alias("twins")), "key", "left")
     ties = rows.filter("vec_id <> rep").select(F.col("rep").alias("a"), F.col("vec_id").alias("b"))
     again = keyed.filter("key IS NOT NULL").groupBy("vec_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo <> hi")
     if again.limit(1).count():
         parts = connected_components(found.filter("b IS NOT NULL").select("a", "b").unionByName(ties))
         rows = rows.withColumn("rep", F.col("vec_id"))
-    out = rows.join(links, "cls", "left").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
+    out = rows.join(links, "key", "left").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "vec_id")
     return out.select(
         "vec_id",
@@ -260,3 +273,21 @@ def near_duplicates(
 
 def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+#: The same in DuckDB, in double precision; vectors that can't link stand alone.
+ORACLE = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+  WHERE list_cosine_similarity(x.e, y.e) >= 0.9),
+reach AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+low AS (SELECT a AS vec_id, min(b) AS b FROM reach GROUP BY 1),
+n AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(b, vec_id)) AS component_id,
+  least(vec_id, coalesce(b, vec_id)) = vec_id AS kept
+FROM embeddings LEFT JOIN n USING (vec_id) LEFT JOIN low USING (vec_id)
+"""

@@ -192,6 +192,12 @@ def test_warc_round_trip(spark, tmp_path):
     assert raw.count(b"WARC/1.1\r\n") == 60 + len(list((tmp_path / "w").glob("*.warc.gz"))) and raw.count(b"dup one") == 1
 
 
+def test_urls_keep_apart():
+    urls = ["a\nb", "a%0Ab", "a%0ab", "a%250Ab", "a\rb", "a%0Db", "a%25b", "a%b", "a%2525b", "a b"]
+    heads = [warc._uri(u, 1) for u in urls]
+    assert len(set(heads)) == len(urls) and not any("\n" in h or "\r" in h for h in heads) and heads[7] == "a%b"
+
+
 def test_int8_bounds_hold():
     rng = np.random.default_rng(1)
     v = rng.normal(size=(200, 48)) * rng.random((200, 1)) * 9
@@ -401,7 +407,7 @@ def test_held_out_accuracy(spark):
 def test_oracles(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     want, got = con.sql(queries.ORACLE_SQL[name]).df(), queries.QUERIES[name](spark, SMALL).toPandas()
     columns = sorted(got.columns)
