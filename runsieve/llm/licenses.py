@@ -2,7 +2,7 @@
 
 A text and a template are anchored on the words that each of them holds once; the
 longest increasing run of anchors is kept, and the gaps between are aligned the
-same way again.  The share of the template's words that align is its coverage.
+same way again, small gaps without an anchor word by word.  The share of the template's words that align is its coverage.
 
 Only places that can reach the wanted coverage are aligned: at least that share
 of a template must be found, so of any larger set of its words (its longest are
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import read_table
 
 COVERAGE = 0.8
+#: Stretches of words times words without an anchor that are still aligned word by word.
+GAP_CELLS = 4096
 WORD = r"[^\W_]+(?:[.'\-][^\W_]+)*"
 
 #: Public license notices, as their licences give them.
@@ -88,6 +90,24 @@ def _anchors(a, b, a_lo, a_hi, b_lo, b_hi):
     return out[::-1]
 
 
+def _longest(a: list, b: list, a_lo: int, b_lo: int) -> list[tuple[int, int]]:
+    """A longest common run of words, with gaps, of a small stretch without anchors."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    out, i, j = [], 0, 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.append((a_lo + i, b_lo + j))
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
 def align(a: list, b: list) -> list[tuple[int, int]]:
     """Aligned places (i of a, j of b) with equal words, rising in both."""
     out, todo = [], [(0, len(a), 0, len(b))]
@@ -103,6 +123,9 @@ def align(a: list, b: list) -> list[tuple[int, int]]:
             continue
         x, y = a_lo, b_lo
         found = _anchors(a, b, a_lo, a_hi, b_lo, b_hi)
+        if not found and (a_hi - a_lo) * (b_hi - b_lo) <= GAP_CELLS:
+            out += _longest(a[a_lo:a_hi], b[b_lo:b_hi], a_lo, b_lo)
+            continue
         out += found
         for i, j in [*found, (a_hi, b_hi)] if found else []:
             if x < i and y < j:
@@ -122,6 +145,28 @@ def _dense(pairs: list, share: float) -> list:
     return pairs[lo:hi]
 
 
+def _tight(words: list, pairs: list) -> list:
+    """The same words of the template on the nearest equal words of the text: later ones pulled to the first, then earlier ones to the last."""
+    out, to = [], -1
+    for i, j in pairs:
+        to = next(k for k in range(to + 1 if out else i, i + 1) if words[k] == words[i])
+        out.append((to, j))
+    back, to = [], len(words)
+    for i, j in reversed(out):
+        to = next(k for k in range(to - 1 if back else i, i - 1, -1) if words[k] == words[i])
+        back.append((to, j))
+    return back[::-1]
+
+
+def place(words: list, template: list, coverage: float) -> list:
+    """The aligned pairs of a window that span a place of the template, or none that reach the coverage."""
+    pairs = align(words, template)
+    if len(pairs) < coverage * len(template):
+        return []
+    pairs = _dense(_tight(words, pairs), coverage)
+    return pairs if len(pairs) >= coverage * len(template) else []
+
+
 class Scanner:
     """Templates made ready for scanning whole texts."""
 
@@ -147,8 +192,8 @@ class Scanner:
         self.quick = sorted({w for _, _, at in self.templates for w in at})
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int, int]]:
-        """(license, coverage, words aligned, first word, last word) of each template that reaches the
-        coverage anywhere in the whole text, the best place of each, the first of equals."""
+        """(license, coverage, words aligned, first word, last word) of each place of a template that
+        reaches the coverage in the whole text: of places that overlap, that with the most words, then the first."""
         if not text:
             return []
         low = text.lower()
@@ -161,25 +206,35 @@ class Scanner:
                 where[w].append(p)
         out = []
         for name, template, at in self.templates:
-            n, best = len(template), None
+            n, found = len(template), {}
             spots = sorted({p - k for w, ks in at.items() for p in where[w] for k in ks})
-            done = None
-            for s in spots:
-                for slack in (1, n // 2 + 4):
-                    lo, hi = max(0, s - slack), min(len(words), s + n + slack)
-                    if (lo, hi) == done or hi <= lo:
-                        continue
-                    done = (lo, hi)
-                    pairs = _dense(align(words[lo:hi], template), self.coverage)
-                    if pairs and len(pairs) >= self.coverage * n and (best is None or len(pairs) > best[1]):
-                        best = (name, len(pairs), lo + pairs[0][0], lo + pairs[-1][0])
-                    if best and best[1] == n:
-                        break
-                if best and best[1] == n:
-                    break
-            if best:
-                out.append((name, best[1] / n, *best[1:]))
-        return out
+            for lo, hi in self._windows(spots, n, -int(-n * self.coverage // 1), len(words)):
+                pairs = place(words[lo:hi], template, self.coverage)
+                if pairs:
+                    span = lo + pairs[0][0], lo + pairs[-1][0]
+                    found[span] = max(found.get(span, 0), len(pairs))
+            taken: list[tuple[int, int]] = []
+            for first, last in sorted(found, key=lambda f: (-found[f], f)):
+                if all(last < a or first > b for a, b in taken):
+                    taken.append((first, last))
+                    out.append((name, found[first, last] / n, found[first, last], first, last))
+        return sorted(out, key=lambda h: (h[0], h[3]))
+
+    @staticmethod
+    def _windows(spots: list[int], n: int, least: int, size: int):
+        """Windows round the places where a template of n words may begin: as long as it or as the least of it, wide, and
+        wide but for what begins half a template later or before, so that notices in a row keep their anchors."""
+        seen, slack = set(), n // 2 + 4
+        for s in spots:
+            after = bisect_left(spots, s + n // 2 + 1)
+            end = spots[after] if after < len(spots) else size
+            before = bisect_left(spots, s - n // 2) - 1
+            start = spots[before] + n if before >= 0 else 0
+            for lo, hi in ((s, s + n), (s, s + least), (s - 1, s + n + 1), (s - slack, s + n + slack), (s - slack, min(end, s + n + slack)), (max(min(start, s), s - slack), min(end, s + n + slack))):
+                lo, hi = max(0, lo), min(size, hi)
+                if hi > lo and (lo, hi) not in seen:
+                    seen.add((lo, hi))
+                    yield lo, hi
 
 
 SCANNED = (
@@ -210,9 +265,9 @@ def _scan(scanner: Scanner):
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, license, coverage, n_aligned, first_word, last_word, licenses): a row for each row of docs.
 
-    licenses: every template of which at least the share `coverage` of its words
-    aligns round one place of the whole text, and as large a share of the words
-    of that place with it; the
+    licenses: every place of the whole text, none of one template overlapping,
+    round which at least the share `coverage` of a template's words aligns, and
+    as large a share of the words of that place with it; the
     other columns repeat the one with the most aligned words (then the largest
     coverage, then the first name), null where there is none, as for null and
     empty texts.  Templates without words are left out.  Other columns of docs

@@ -23,7 +23,9 @@ N_TREES, DEPTH, MIN_LEAF, SHRINK = 60, 3, 5, 0.3
 MAX_RULES = 48
 PENALTIES = (0.02, 0.01, 0.005, 0.002, 0.001)
 
-STATS = ("n_words", "word_chars", "distinct_share", "distinct_power", "pipes", "bangs", "marks", "capitals")
+STATS = (
+    "n_words", "word_chars", "distinct_share", "distinct_power", "pipes", "bangs", "marks", "capitals", "digits", "punctuation", "line_words", "distinct_lines"
+)
 
 
 def with_stats(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -35,6 +37,9 @@ def with_stats(df: DataFrame, text_col: str = "text") -> DataFrame:
             "_w": F.split(F.btrim(t, F.lit(" \t\n\x0b\f\r")), r"[\x20\x09-\x0D]+"),
             "_s": F.regexp_replace(t, r"[^!|$%&*#]+", ""),
             "_u": F.length(F.regexp_replace(t, r"[^\p{Lu}]+", "")).cast("double"),
+            "_g": F.length(F.regexp_replace(t, r"[^0-9]+", "")).cast("double"),
+            "_p": F.length(F.regexp_replace(t, r"[\p{L}\p{N}\s]+", "")).cast("double"),
+            "_l": F.split(t, "\n"),
         }
     )
     df = df.withColumns(
@@ -57,9 +62,13 @@ def with_stats(df: DataFrame, text_col: str = "text") -> DataFrame:
             "bangs": F.col("_bangs") / k,
             "marks": (F.col("_all") - F.col("_pipes") - F.col("_bangs")) / k,
             "capitals": F.col("_u") / F.greatest(F.col("_n"), F.lit(1.0)),
+            "digits": F.col("_g") / F.greatest(F.col("_n"), F.lit(1.0)),
+            "punctuation": F.col("_p") / F.greatest(F.col("_n"), F.lit(1.0)),
+            "line_words": k / F.size("_l"),
+            "distinct_lines": F.size(F.array_distinct("_l")) / F.size("_l"),
         }
     )
-    return df.drop("_n", "_w", "_s", "_u", "_k", "_d", "_pipes", "_bangs", "_all")
+    return df.drop("_n", "_w", "_s", "_u", "_k", "_d", "_pipes", "_bangs", "_all", "_g", "_p", "_l")
 
 
 @dataclass(frozen=True)
@@ -217,14 +226,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> R
     """Learn from at most sample_rows labelled rows outside the held-out third.
 
     The sample is the labels with the smallest seeded hashes; a document with
-    several labels counts with the lowest.  Labels that are null, or of ids that
-    docs lacks, are left out.
+    several labels counts with the lowest, an id with several texts with that of
+    the least statistics.  Labels that are null, or of ids that docs lacks, are
+    left out.
     """
     own = labels.filter(~held_out() & F.col("quality").isin(0, 1))
     own = own.groupBy("doc_id").agg(F.min("quality").alias("_y"))
     own = own.orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id").limit(sample_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id")  # at most sample_rows rows
-    rows = with_stats(rows).select("_y", *STATS).collect()
+    rows = with_stats(rows).groupBy("doc_id").agg(F.min(F.struct("_y", *STATS)).alias("s")).select("s.*").collect()
     data = np.array([[float(v) for v in r] for r in rows]).reshape(len(rows), 1 + len(STATS))
     data = data[np.lexsort(data.T)]  # the same fit whatever the order of arrival
     return fit_rules(data[:, 1:], data[:, 0])
@@ -266,6 +276,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the classifier accepts."""
+    """The documents that the classifier accepts, each row by its own text.
+
+    All columns stay as they are, whatever their names; a null text counts as
+    empty; null or repeated ids change nothing; an empty table stays empty.
+    """
     model = fit(docs, read_table(spark, sf_dir, "labels"))
     return _scored(docs, model).filter("_score >= 0.5").select(*_own(docs))

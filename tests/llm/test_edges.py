@@ -181,3 +181,21 @@ def test_stages(spark, docs, empty, labels, tmp_path, stage):
     if stage is minhash.stage:
         assert docs.exceptAll(got).select("doc_id").distinct().collect()[0][0] == 25
     assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_last_stage(spark, docs, empty, tmp_path):
+    got = pieces.stage(spark, docs, str(tmp_path))
+    assert counts(got) == counts(docs) and got.filter("NOT round_trip").count() == 0
+    assert sorted(r["position"] for r in got.collect()) == list(range(docs.count()))
+    assert pieces.stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_vectors_at_the_threshold(spark):
+    """Cosines of exactly 0.9, and a little below, by vectors whose products are exact."""
+    rows = [(1, [10.0, 0.0, 0.0]), (2, [9.0, 3.0, 10.0**0.5]), (3, [1.0, 0.0, 0.0]), (4, [0.9, 0.4358898943540673, 0.0]), (5, [0.8999999, 0.43589010, 0.0])]
+    import numpy as np
+
+    unit = {i: np.array(v) / np.sqrt((np.array(v) / max(map(abs, v))) @ (np.array(v) / max(map(abs, v)))) / max(map(abs, v)) for i, v in rows}
+    links = {i: sum(j != i and float(unit[i] @ unit[j]) >= 0.9 for j in unit) for i in unit}
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == links and links[1] >= 1
