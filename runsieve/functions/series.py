@@ -39,6 +39,16 @@ def merge_ranges(ranges: Column) -> Column:
     return F.aggregate(F.array_sort(ranges), empty, step)
 
 
+def contains(span: Column, line: Column) -> Column:
+    """Whether a range (start, end) holds a line, ends included."""
+    return (span["start"] <= line) & (line <= span["end"])
+
+
+def overlaps(a: Column, b: Column) -> Column:
+    """Whether two ranges share a line."""
+    return (a["start"] <= b["end"]) & (b["start"] <= a["end"])
+
+
 def budget_fold(costs: Column, cap: float) -> Column:
     """Of calls in order, which still run: a call is refused once the cap is spent, or if the mean
     cost so far on top of what is spent would pass it."""

@@ -180,6 +180,11 @@ def distance(a: Column, b: Column, chars: int = 512) -> Column:
     return F.when(longer > 0, F.levenshtein(a, b) / longer).otherwise(0.0)
 
 
+def initialism(code: Column) -> Column:
+    """The first letters of the parts of a code: REAL_REGRESSION is RR."""
+    return F.array_join(F.transform(F.split(code, "_"), lambda p: F.left(p, F.lit(1))), "")
+
+
 #: Ordered rules of the keyword guess; the first that matches wins.
 CAUSE_RULES = (
     (

@@ -201,16 +201,20 @@ def with_verdict(history: DataFrame, config: Detect = Detect(), diffs: DataFrame
     )
     total = lambda ws: F.aggregate(ws, F.lit(0).cast("long"), lambda s, w: s + w["n_observed"])
 
-    def signal(when, name, n):
-        return F.when(when, F.struct(F.lit(name).alias("signal"), n.cast("long").alias("observations")))
+    newest = lambda ws: F.try_element_at(ws, F.lit(-1))
+
+    def signal(when, name, n, sha=None, attempts=None):
+        sha = F.lit(None).cast("string") if sha is None else sha
+        attempts = F.array().cast("array<int>") if attempts is None else attempts
+        return F.when(when, F.struct(F.lit(name).alias("signal"), n.cast("long").alias("observations"), sha.alias("commit_sha"), attempts.alias("attempts")))
 
     out = out.withColumns({"n_diverged": F.size(apart), "branch_signal": F.coalesce(elsewhere, F.lit(False)), "instability": unstable})
     out = out.withColumn(
         "signals",
         F.array_compact(
             F.array(
-                signal(F.size(apart) > 0, "same_sha_divergence", total(apart)),
-                signal(F.size(across) > 0, "cross_attempt_divergence", total(across)),
+                signal(F.size(apart) > 0, "same_sha_divergence", total(apart), newest(apart)["commit_sha"]),
+                signal(F.size(across) > 0, "cross_attempt_divergence", total(across), newest(across)["commit_sha"], newest(across)["attempts"].cast("array<int>")),
                 signal(F.col("branch_signal"), "branch_independent", F.size(on_main)),
                 signal(F.col("instability"), "historical_instability", F.col("observations")),
             )

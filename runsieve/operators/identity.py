@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import Counter
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Identity
@@ -79,11 +79,18 @@ def match_renames(pairs: DataFrame, config: Identity = Identity(), keys=("run_pk
 
 
 def disappeared(executions: DataFrame, runs: DataFrame) -> DataFrame:
-    """(run_pk, test_id) of tests seen in any run that started before, absent from this one."""
-    seen = executions.join(runs.select("run_pk", "started_at"), "run_pk")
-    first = seen.groupBy("test_id").agg(F.min("started_at").alias("first_seen"))
-    later = runs.select("run_pk", "started_at").join(first, F.col("first_seen") < F.col("started_at"))
-    return later.select("run_pk", "test_id").join(executions.select("run_pk", "test_id").distinct(), ["run_pk", "test_id"], "left_anti")
+    """(run_pk, test_id) of tests seen in any run that started before, absent from this one.
+
+    Runs are numbered by their start; a test asks for every number after its
+    first, so that tests and runs meet by equality.
+    """
+    number = F.dense_rank().over(Window.orderBy("started_at"))  # runs, not executions
+    numbered = runs.select("run_pk", number.alias("no"))
+    last = numbered.agg(F.max("no").alias("last")).scalar()
+    first = executions.join(numbered, "run_pk").groupBy("test_id").agg(F.min("no").alias("first")).withColumn("last", last)
+    wanted = first.filter("first < last").select("test_id", F.explode(F.sequence(F.col("first") + 1, F.col("last"))).alias("no"))
+    later = wanted.join(numbered, "no").select("run_pk", "test_id")
+    return later.join(executions.select("run_pk", "test_id").distinct(), ["run_pk", "test_id"], "left_anti")
 
 
 def appeared(executions: DataFrame, runs: DataFrame) -> DataFrame:
@@ -101,12 +108,25 @@ def reconcile(identities: DataFrame, executions: DataFrame, runs: DataFrame, con
     return match_renames(similar_pairs(lost, new, config), config)
 
 
+def reconcile_run(identities: DataFrame, current: DataFrame, started, config: Identity = Identity()) -> DataFrame:
+    """Alias edges of one run: tests first seen before it that it (run_pk, fingerprint) lacks, against those it shows first.
+
+    Only identities and the run's own tests are read, never the history.
+    """
+    own = identities.select("fingerprint", "test_name", "suite_path", "parameters", "first_seen")
+    run = current.select("run_pk").distinct()  # one row
+    lost = own.filter(F.col("first_seen") < F.lit(started)).join(current.select("fingerprint"), "fingerprint", "left_anti")
+    new = own.filter(F.col("first_seen") >= F.lit(started)).join(current, "fingerprint")
+    lost = lost.withColumn("run_pk", run.scalar())
+    return match_renames(similar_pairs(lost, new, config), config)
+
+
 def upsert_aliases(have: DataFrame, new: DataFrame) -> DataFrame:
     """Edges (old_id, new_id, similarity, certain), each once; certainty and similarity never fall."""
     return have.unionByName(new).groupBy("old_id", "new_id").agg(F.max("similarity").alias("similarity"), F.bool_or("certain").alias("certain"))
 
 
-def groups(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def groups(edges: DataFrame) -> DataFrame:
     """(test_id, group_id, uncertain) of every id on an edge (old_id, new_id, certain).
 
     The largest id reachable is carried along the edges and then along itself,
@@ -115,7 +135,7 @@ def groups(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     both = edges.select(F.col("old_id").alias("a"), F.col("new_id").alias("b"))
     both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     label = both.groupBy("a").agg(F.max("b").alias("m")).select(F.col("a").alias("id"), F.greatest("a", "m").alias("g"))
-    for _ in range(max_rounds):
+    while True:
         near = both.join(label.select(F.col("id").alias("b"), "g"), "b").groupBy("a").agg(F.max("g").alias("n"))
         step = label.join(near, label["id"] == near["a"]).select("id", F.greatest("g", "n").alias("g"))
         jump = step.select(F.col("id").alias("g"), F.col("g").alias("top"))

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import CAUSES, NOT_FLAKE_CAUSES, VERDICTS
 
 
-def nearest_rank(column: str, share: float) -> Column:
-    """The value at the nearest rank, halves to even, of the sorted values; 0 of none."""
-    values = F.sort_array(F.collect_list(column))
-    at = F.rint(F.lit(share) * (F.size(values) - 1)).cast("int")
-    return F.coalesce(F.get(values, at), F.lit(0.0))
+def nearest_rank(rows: DataFrame, column: str, shares: dict[str, float]) -> DataFrame:
+    """One row: for each name the value at the nearest rank, halves to even, of the share of the sorted values; 0 of none.
+
+    Equal values are counted first, so that only distinct ones are put in order.
+    """
+    counts = rows.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumn("upto", upto).withColumn("all", F.sum("n").over(Window.partitionBy()))  # distinct values
+    at = lambda share: F.rint(F.lit(share) * (F.col("all") - 1))
+    return ranked.agg(*[F.coalesce(F.min(F.when(F.col("upto") > at(s), F.col("v"))), F.lit(0.0)).alias(k) for k, s in shares.items()])
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -21,16 +26,35 @@ def ratio(a: Column, b: Column) -> Column:
 
 def call_totals(calls: DataFrame) -> DataFrame:
     """One row over calls (kind, input_tokens, output_tokens, cost_usd, latency_ms, error)."""
-    good = F.when((F.col("kind") == "classify") & F.col("error").isNull(), F.col("latency_ms"))
-    return calls.withColumn("_good", good).agg(
+    good = calls.filter((F.col("kind") == "classify") & F.col("error").isNull())
+    sums = calls.agg(
         F.count("*").alias("calls"),
         F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"),
         F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens"),
         F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("cost_usd"),
         F.count_if(F.col("error").isNotNull()).alias("errors"),
-        nearest_rank("_good", 0.5).alias("p50_ms"),
-        nearest_rank("_good", 0.95).alias("p95_ms"),
     )
+    return sums.join(nearest_rank(good, "latency_ms", {"p50_ms": 0.5, "p95_ms": 0.95}), F.lit(True))  # one row each
+
+
+def cost_per_classification(calls: DataFrame, classifications: DataFrame) -> DataFrame:
+    """One row: what all calls cost, for each classification; 0 of none."""
+    spent = calls.agg(F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("cost_usd"))
+    return spent.join(classifications.agg(F.count("*").alias("n")), F.lit(True)).select(ratio(F.col("cost_usd"), F.col("n")).alias("cost_per_classification"))
+
+
+def last_seen(executions: DataFrame, runs: DataFrame, before=None) -> DataFrame:
+    """(test_id, last_seen): the latest start of a run (before one, if given) that shows the test."""
+    some = runs if before is None else runs.filter(F.col("started_at") < F.lit(before))
+    return executions.join(some.select("run_pk", "started_at"), "run_pk").groupBy("test_id").agg(F.max("started_at").alias("last_seen"))
+
+
+def as_map(rows: DataFrame, column: str) -> DataFrame:
+    """One row: a map from each value of the column (there are few) to how often it stands, by falling count in `ranked`."""
+    entry = F.struct(F.col(column).cast("string").alias("key"), F.col("n").alias("value"))
+    out = tally(rows.filter(F.col(column).isNotNull()), column).agg(F.collect_list(entry).alias("e"))
+    ranked = F.array_sort("e", lambda x, y: F.when(x["value"] != y["value"], F.when(x["value"] > y["value"], -1).otherwise(1)).when(x["key"] < y["key"], -1).when(x["key"] > y["key"], 1).otherwise(0))
+    return out.select(F.map_from_entries("e").alias("counts"), F.transform(ranked, lambda x: x["key"]).alias("ranked"))
 
 
 def classification_totals(classifications: DataFrame) -> DataFrame:
@@ -114,13 +138,18 @@ def where_better(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def proposal_totals(results: DataFrame) -> DataFrame:
-    """One row over proposals (calls, cache_hit, downgrade_reason): how often they called, hit the cache, were repaired or fell through."""
-    broken = ("invalid_json", "schema_invalid", "unknown_cause", "empty_response")
+    """One row over proposals (cache_hit, abstained, downgrade_reason, log): calls, hits, repairs, failures, and the mean
+    cost of those that were proposed (gates left out)."""
+    own = F.filter("log", lambda c: c["kind"] != "gate")
+    cost = F.aggregate(own, F.lit(0.0), lambda s, c: s + F.coalesce(c["cost_usd"], F.lit(0.0)))
+    asked = F.size(own) > 0
     out = results.agg(
         F.count("*").alias("proposals"),
-        F.coalesce(F.sum("calls"), F.lit(0)).alias("calls"),
+        F.coalesce(F.sum(F.size("log")), F.lit(0)).alias("calls"),
         F.count_if("cache_hit").alias("cache_hits"),
-        F.count_if(F.col("downgrade_reason").isin(*broken)).alias("schema_failures"),
+        F.coalesce(F.sum(F.size(F.filter("log", lambda c: c["kind"] == "repair"))), F.lit(0)).alias("repairs"),
+        F.count_if(F.col("downgrade_reason").isin("invalid_json", "schema_invalid", "unknown_cause", "empty_response")).alias("schema_failures"),
         F.count_if(F.col("abstained")).alias("abstained"),
+        F.coalesce(F.avg(F.when(asked, cost)), F.lit(0.0)).alias("mean_cost_usd"),
     )
     return out.withColumn("cache_hit_rate", ratio(F.col("cache_hits"), F.col("proposals")))

@@ -62,36 +62,48 @@ def should_release(clean_runs: Column, config: Policy = Policy()) -> Column:
 def owner_regex(pattern: str) -> str | None:
     """A code-owner pattern as a regular expression to be found in a path; None matches nothing.
 
-    `**` crosses folders, `*` does not; a leading slash ties to the root, a
-    trailing one means all below; a plain name is a file or folder anywhere.
+    The pattern is read folder by folder, as the published rules have it: `**`
+    stands for any folders, `*` for anything within a name; a slash in front ties
+    to the root, one at the end means all below; a pattern without `*` names a
+    file or a folder with all below it.
     """
-    p = pattern.strip()
-    if not p:
-        return None
-    if p == "*":
-        return ""
-    root = p.startswith("/")
-    p = p.lstrip("/")
-    start = "^" if root else "(^|/)"
-    if p.endswith("/"):
-        return start + re.escape(p)
-    if "*" not in p:
-        return f"^{re.escape(p)}(/|$)" if root else f"(^|/){re.escape(p)}(/|$)"
-    glob = {"**/": "(?:[^/]+/)*", "**": ".*", "*": "[^/]*"}
-    body = "".join(glob.get(x) or re.escape(x) for x in re.split(r"(\*\*/|\*\*|\*)", p))
-    return f"{start}{body}$"
+    given = pattern.strip()
+    if given in ("", "*"):
+        return None if not given else ""
+    names = given.strip("/").split("/")
+    open_end = given.endswith("/")
+    steps = []
+    for depth, name in enumerate(names):
+        last = depth == len(names) - 1
+        if name == "**" and not last:
+            steps.append("(?:[^/]+/)*")
+            continue
+        pieces = [".*".join(re.escape(x) for x in part.split("**")) if "**" in part else re.escape(part) for part in _stars(name)]
+        steps.append("[^/]*".join(pieces) + ("" if last else "/"))
+    if open_end:
+        end = "/"
+    else:
+        end = "$" if "*" in given else "(/|$)"
+    return ("^" if given.startswith("/") else "(^|/)") + "".join(steps) + end
+
+
+def _stars(name: str) -> list[str]:
+    """What single stars part; double ones stay."""
+    return [x.replace("\0", "**") for x in name.replace("**", "\0").split("*")]
 
 
 def owners(paths: DataFrame, rules: DataFrame, path_col: str = "path") -> DataFrame:
-    """paths with owners: of the rules (rule_no, regex, owners) that a path meets, the last.
+    """paths with owners and rule_no: of the rules (rule_no, regex, owners) that a path meets, the last.
 
-    Distinct paths meet the rules; a code-owners file holds few of these.
+    A code-owners file holds few rules: they become one expression, the last rule first.
     """
     own = F.ltrim(F.translate(F.col(path_col), "\\", "/"), F.lit("./"))
-    distinct = paths.select(path_col).distinct().withColumn("_own", own)
-    met = distinct.join(rules, F.expr("_own rlike regex"))
-    last = met.groupBy(path_col).agg(F.max_by("owners", "rule_no").alias("owners"), F.max("rule_no").alias("rule_no"))
-    return paths.join(last, path_col, "left")
+    hit = F.lit(None).cast("struct<owners:array<string>,rule_no:int>")
+    for r in rules.orderBy("rule_no").collect():  # the lines of one file
+        found = F.struct(F.array(*[F.lit(o) for o in r["owners"]]).alias("owners"), F.lit(r["rule_no"]).alias("rule_no"))
+        hit = F.when(own.rlike(r["regex"]), found).otherwise(hit)
+    out = paths.withColumn("_hit", hit)
+    return out.withColumns({"owners": F.col("_hit.owners"), "rule_no": F.col("_hit.rule_no")}).drop("_hit")
 
 
 def resolve_owner(paths: DataFrame, rules: DataFrame, committers: DataFrame | None = None, path_col: str = "path") -> DataFrame:
@@ -115,6 +127,14 @@ def latest_state(events: DataFrame) -> DataFrame:
     return events.groupBy("record_id").agg(F.max_by(F.struct(*[c for c in events.columns if c != "record_id"]), "event_no").alias("e")).select("record_id", "e.*")
 
 
+def listing(events: DataFrame, identities: DataFrame, now: Column, days: int = 3, open_only: bool = True) -> DataFrame:
+    """Quarantines with the names of their tests, by expiry and record; expiring says which end within so many days."""
+    rows = latest_state(events)
+    rows = rows.filter(is_open(F.col("state"))) if open_only else rows
+    rows = rows.join(identities.select("test_id", "suite_path", "test_name", "parameters"), "test_id")
+    return rows.withColumn("expiring", is_open(F.col("state")) & expiring(F.col("expires_at"), now, days)).orderBy("expires_at", "record_id")
+
+
 def reason(rows: DataFrame) -> DataFrame:
     """rows with a sentence for each decision."""
     said = F.when(

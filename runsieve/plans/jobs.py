@@ -7,6 +7,7 @@ import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import log
 from ..config import Config
 from ..functions import text
 from ..operators import history, identity, metrics, policy
@@ -76,20 +77,22 @@ def ingest(store: Store, files: DataFrame, run: dict, patches: DataFrame | None
         store.append("changes", new_rows(changed, store.table("changes"), ["run_pk", "path"]))
         warnings = warnings.unionByName(more)
     warnings = warnings.select(F.lit(pk).alias("run_pk"), "*", today)
+    known = store.table("warnings").filter(F.col("run_pk") == pk)
+    warnings = new_rows(warnings, known, ["run_pk", "origin", "reason", "detail"]).cache()
     n_warnings = warnings.count()
     store.append("warnings", warnings)
-    cases.unpersist()
-    fresh.unpersist()
+    for rows in (cases, fresh, warnings):
+        rows.unpersist()
+    log.event("ingest", "run ingested", run_pk=pk, cases=n_cases, inserted=n_new, renames=renames, warnings=n_warnings)
     return {"run_pk": pk, "cases": n_cases, "inserted": n_new, "skipped": n_cases - n_new, "renames": renames, "warnings": n_warnings}
 
 
 def reconcile(store: Store, pk: str, config: Config = Config()) -> int:
     """Aliases between what a run lost and what is new in it."""
-    runs, ids = store.table("runs").select("run_pk", "started_at"), store.table("identities")
-    ex = store.table("executions").select("run_pk", "fingerprint").join(ids.select("fingerprint", "test_id"), "fingerprint").select("run_pk", "test_id")
-    started = runs.filter(F.col("run_pk") == pk).first()["started_at"]
-    runs = runs.filter(F.col("started_at") <= F.lit(started))
-    edges = identity.reconcile(ids, ex, runs, config.identity).filter(F.col("run_pk") == pk)
+    ids, run = store.table("identities"), store.table("runs").filter(F.col("run_pk") == pk)
+    started = run.first()["started_at"]
+    current = store.executions_of(run).select("run_pk", "fingerprint").distinct()
+    edges = identity.reconcile_run(ids, current, started, config.identity)
     number = lambda side: ids.select(F.col("fingerprint").alias(f"{side}_fingerprint"), F.col("test_id").alias(f"{side}_id"))
     edges = edges.join(number("old"), "old_fingerprint").join(number("new"), "new_fingerprint")
     edges = edges.select("old_id", "new_id", (1 - F.col("distance")).alias("similarity"), "certain").cache()
@@ -146,31 +149,71 @@ def apply_policy(store: Store, decided: DataFrame, now: datetime.datetime, confi
 
 
 def stats(store: Store) -> tuple[DataFrame, DataFrame]:
-    return metrics.call_totals(store.table("calls")), metrics.classification_totals(store.table("classifications"))
+    """(totals of calls, totals of classifications with their cost), one row each."""
+    calls, classified = store.table("calls"), store.table("classifications")
+    totals = metrics.classification_totals(classified)
+    return metrics.call_totals(calls), totals.join(metrics.cost_per_classification(calls, classified), F.lit(True))
+
+
+def tallies(store: Store) -> dict[str, DataFrame]:
+    """Classifications by cause and by reason to abstain, the most frequent first, and the sizes of all tables."""
+    rows = store.table("classifications")
+    return {
+        "causes": metrics.tally(rows, "cause").orderBy(F.desc("n"), "cause"),
+        "reasons": metrics.tally(rows, "downgrade_reason", "none").orderBy(F.desc("n"), "downgrade_reason"),
+        "tables": store.counts().orderBy("table"),
+    }
+
 
+def quarantines(store: Store, now: datetime.datetime, config: Config = Config(), open_only: bool = True) -> DataFrame:
+    """Quarantines with names, by expiry."""
+    at = F.lit(now).cast("timestamp_ntz")
+    return policy.listing(store.table("quarantines"), store.table("identities"), at, config.policy.expiring_days, open_only)
 
-def triage(store: Store, found: DataFrame, proposer=None, config: Config = Config(), now: datetime.datetime | None = None) -> DataFrame:
-    """Causes for the detections that need one, kept in the store; without a proposer, the keyword guesses."""
+
+def triage(store: Store, found: DataFrame, proposer=None, config: Config = Config(), now: datetime.datetime | None = None, enabled: bool = True) -> DataFrame:
+    """Causes for the detections that need one, kept in the store with the calls they took; without a proposer, the keyword guesses."""
     from ..operators import causes  # detection and policy never need it
 
     todo = history.needs_cause(found)
+    made, nothing = None, F.lit(None).cast("string").alias("run_pk")
     if proposer is None:
         out = causes.keyword_classification(todo)
-        nothing = F.array().cast("array<string>")
-        out = out.withColumns({"reasoning": F.lit(""), "evidence": nothing, "suggested_action": F.lit(""), "cache_hit": F.lit(False)})
+        empty = F.array().cast("array<string>")
+        out = out.withColumns({"reasoning": F.lit(""), "evidence": empty, "suggested_action": F.lit(""), "cache_hit": F.lit(False)})
     else:
-        out = causes.propose(todo, proposer, config.cause, store.table("replies")).cache()
+        out = made = causes.propose(todo, proposer, config.cause, store.table("replies"), enabled, store.table("changes")).persist()
         store.append("replies", causes.keep_replies(out).dropDuplicates(["context_key"]))
+        store.append("calls", causes.model_calls(out).select(nothing, "*", F.current_date().alias("ingest_date")))
+        took = metrics.proposal_totals(out).first().asDict()
+        log.event("triage", "causes proposed", **took)
     number = (store.table("classifications").agg(F.max("event_no")).first()[0] or 0) + 1
     rows = out.withColumns({"run_pk": F.lit(None).cast("string"), "event_no": F.lit(number).cast("long"), "ingest_date": F.current_date()})
     store.append("classifications", rows)
+    if made is not None:
+        made.unpersist()
     return store.table("classifications").filter(F.col("event_no") == number)
 
 
-def evaluate(examples: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(totals, class scores) of the keyword rules on labelled examples."""
+def triage_from_config(store: Store, found: DataFrame, config: Config = Config(), clients: dict | None = None) -> DataFrame:
+    """triage() with the proposer that the settings name: `keywords`, or one of clients by the model's name."""
+    if config.cause.model == "keywords":
+        return triage(store, found, None, config)
+    client = (clients or {}).get(config.cause.model)
+    if client is None:
+        raise ValueError(f"no client for the model {config.cause.model!r}")
+    return triage(store, found, client, config)
+
+
+def guesses(examples: DataFrame) -> DataFrame:
+    """(id, truth, predicted, adversarial): labelled examples with the keyword guess."""
     guess = text.keyword_cause(
         F.col("failure_type"), F.col("failure_message"), F.col("stack_trace"), F.size(F.coalesce("history.failing_shards", F.array().cast("array<string>")))
     )
-    rows = examples.select(F.col("label").alias("truth"), guess.alias("predicted"), F.coalesce("adversarial", F.lit(False)).alias("adversarial"))
+    return examples.select("id", F.col("label").alias("truth"), guess.alias("predicted"), F.coalesce("adversarial", F.lit(False)).alias("adversarial"))
+
+
+def evaluate(examples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(totals, class scores) of the keyword rules on labelled examples."""
+    rows = guesses(examples)
     return metrics.report_scores(rows), metrics.class_scores(rows)

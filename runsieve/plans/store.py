@@ -6,7 +6,7 @@ One writer at a time; a batch that is ingested again changes nothing.
 
 from __future__ import annotations
 
-import uuid
+import functools
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,14 +44,16 @@ def new_rows(batch: DataFrame, have: DataFrame, keys: list[str], order: list | N
     """The rows of a batch that a table lacks, the first of each key."""
     first = Window.partitionBy(*keys).orderBy(*(order or keys))
     batch = batch.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
-    return batch.join(have.select(*keys).distinct(), keys, "left_anti")
+    there = have.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    return batch.join(there, [batch[k].eqNullSafe(there[f"_{k}"]) for k in keys], "left_anti")
 
 
 def upsert_identities(have: DataFrame, seen: DataFrame) -> DataFrame:
     """Identities with those of a batch (fingerprint, suite_path, test_name, parameters, file_path, seen_at).
 
-    A known one is seen later and keeps its file unless a new one is given; new
-    ones take the next numbers, by first sight and fingerprint.
+    A known one keeps its first and last sight up to date, whatever the order of
+    ingestion, and its file unless a new one is given; new ones take the next
+    numbers, by first sight and fingerprint.
     """
     batch = seen.groupBy("fingerprint").agg(
         F.max_by("suite_path", "seen_at").alias("suite_path"),
@@ -61,15 +63,15 @@ def upsert_identities(have: DataFrame, seen: DataFrame) -> DataFrame:
         F.min("seen_at").alias("first_new"),
         F.max("seen_at").alias("last_new"),
     )
-    known = have.join(batch.select("fingerprint", "file_new", "last_new"), "fingerprint", "left").select(
+    known = have.join(batch.select("fingerprint", "file_new", "first_new", "last_new"), "fingerprint", "left").select(
         "test_id",
         "fingerprint",
         "suite_path",
         "test_name",
         "parameters",
         F.coalesce("file_new", "file_path").alias("file_path"),
-        "first_seen",
-        F.coalesce("last_new", "last_seen").alias("last_seen"),
+        F.least("first_seen", "first_new").alias("first_seen"),
+        F.greatest("last_seen", "last_new").alias("last_seen"),
     )
     fresh = batch.join(have.select("fingerprint"), "fingerprint", "left_anti")
     top = have.agg(F.coalesce(F.max("test_id"), F.lit(0)).alias("top"))
@@ -114,9 +116,10 @@ class Store:
         if not self._exists(path):
             return self.spark.createDataFrame([], TABLES[name])
         if name in ("identities", "aliases"):
-            versions = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "modificationTime")
-            newest = versions.orderBy(F.desc("modificationTime"), F.desc("path")).first()["path"].rsplit("/", 1)[0]
-            return self.spark.read.schema(TABLES[name]).parquet(newest)
+            versions = self._versions(name)
+            if not versions:
+                return self.spark.createDataFrame([], TABLES[name])
+            return self.spark.read.schema(TABLES[name]).parquet(self._version(name, versions[-1]))
         return self.spark.read.schema(TABLES[name]).parquet(path)
 
     def append(self, name: str, rows: DataFrame) -> None:
@@ -126,8 +129,41 @@ class Store:
         else:
             rows.write.mode("append").parquet(self._path(name))
 
+    def _version(self, name: str, number: int) -> str:
+        return f"{self._path(name)}/v-{number:010d}"
+
+    def _versions(self, name: str) -> list[int]:
+        """The numbers of the versions that were written whole, rising."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(name))
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(path)]
+        return sorted(int(n[2:]) for n in names if n.startswith("v-") and self._exists(f"{self._path(name)}/{n}/_SUCCESS"))
+
     def replace(self, name: str, rows: DataFrame) -> None:
-        rows.select(*[f.split()[0] for f in _columns(name)]).write.parquet(f"{self._path(name)}/v-{uuid.uuid4().hex}")
+        """Write the next version; the one before stays for those who read it, older ones go."""
+        have = self._versions(name)
+        number = have[-1] + 1 if have else 1
+        rows = rows.select(*[f.split()[0] for f in _columns(name)])
+        rows.write.mode("overwrite").parquet(self._version(name, number))
+        for old in have[:-1]:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self._version(name, old))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def executions_of(self, run_pks: DataFrame) -> DataFrame:
+        """The executions of runs (run_pk)."""
+        return self.table("executions").join(run_pks.select("run_pk").distinct(), "run_pk", "left_semi")
+
+    def identities_of(self, keys: DataFrame) -> DataFrame:
+        """keys (test_id or fingerprint) with what is known of these tests; nulls where nothing is."""
+        by = "fingerprint" if "fingerprint" in keys.columns else "test_id"
+        return keys.join(self.table("identities"), by, "left")
+
+    def counts(self) -> DataFrame:
+        """(table, n) of every table, empty ones too."""
+        rows = [self.table(t).agg(F.lit(t).alias("table"), F.count("*").alias("n")) for t in TABLES]
+        return functools.reduce(DataFrame.unionByName, rows)
 
     def fact(self) -> DataFrame:
         """Executions with their runs and test ids, in the shape that detection takes."""

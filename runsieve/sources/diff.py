@@ -15,8 +15,16 @@ HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 
 
 def read_patches(spark: SparkSession, *paths: str) -> DataFrame:
-    """(origin, body) of patch files."""
-    return spark.read.text(list(paths), wholetext=True).select(F.input_file_name().alias("origin"), F.col("value").alias("body"))
+    """(origin, body, problem) of patch files; one that is missing or no UTF-8 has no body and the problem `unreadable_file`."""
+    there, missing = [], []
+    for p in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(p)
+        (there if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where) else missing).append(p)
+    out = spark.createDataFrame([(p, None, "unreadable_file") for p in missing], "origin string, body string, problem string")
+    if not there:
+        return out
+    raw = spark.read.format("binaryFile").load(there).select(F.col("path").alias("origin"), F.try_validate_utf8(F.col("content").cast("string")).alias("body"))
+    return raw.withColumn("problem", F.when(F.col("body").isNull(), "unreadable_file")).unionByName(out)
 
 
 def from_git(spark: SparkSession, base: str, head: str, cwd: str | None = None, timeout: int = 30) -> DataFrame:
@@ -127,12 +135,20 @@ def parse_patches(patches: DataFrame) -> tuple[DataFrame, DataFrame]:
         merge_ranges(F.coalesce("new", none)).alias("new_ranges"),
         merge_ranges(F.coalesce("old", none)).alias("old_ranges"),
     )
+    unread = patches.filter("problem IS NOT NULL") if "problem" in patches.columns else patches.limit(0).withColumn("problem", F.lit(""))
+    unread = unread.select("origin", F.col("problem").alias("reason"), F.lit(None).cast("string").alias("detail"))
     bad = rows.filter((F.col("kind") == "header") & ~F.col("line").rlike(HEADER))
     bad = bad.select("origin", F.lit("bad_diff_header").alias("reason"), F.left("line", F.lit(200)).alias("detail"))
     empty = patches.filter(text.trim(F.coalesce("body", F.lit(""))) != "").select("origin")
     empty = empty.join(files.select("origin").distinct(), "origin", "left_anti").join(bad.select("origin").distinct(), "origin", "left_anti")
     empty = empty.select("origin", F.lit("no_file_changes_found").alias("reason"), F.lit(None).cast("string").alias("detail"))
-    return changes, bad.unionByName(empty)
+    return changes, bad.unionByName(empty).unionByName(unread)
+
+
+def all_paths(changes: DataFrame, by: str = "commit_sha") -> DataFrame:
+    """(by, paths): every path of each commit's changes, those before a rename too."""
+    both = F.explode(F.array_compact(F.array("path", "old_path"))).alias("p")
+    return changes.select(by, both).groupBy(by).agg(F.array_sort(F.collect_set("p")).alias("paths"))
 
 
 def changed_paths(changes: DataFrame, by: str = "commit_sha") -> DataFrame:
@@ -140,20 +156,20 @@ def changed_paths(changes: DataFrame, by: str = "commit_sha") -> DataFrame:
     return changes.groupBy(by).agg(F.array_sort(F.collect_set("path")).alias("paths"))
 
 
-def find_changes(wanted: DataFrame, changes: DataFrame) -> DataFrame:
-    """wanted (path) with change_path: the change of that very path (old or new), else the only one that ends in it.
+def find_changes(wanted: DataFrame, changes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """wanted (by, path) with change_path: the change of that very path (old or new), else the only one that ends in it.
 
-    Paths meet on their last part, so that the join is an equality.
+    Only changes with the same `by` are looked at.  Paths meet on their last part, so that the join is an equality.
     """
     last = lambda c: F.element_at(F.split(c, "/"), -1)
-    w = wanted.select("path").distinct().withColumn("n", text.lookup_path(F.col("path"))).withColumn("k", last(F.col("n")))
-    c = changes.select(F.col("path").alias("change_path"), F.explode(F.array_compact(F.array("path", "old_path"))).alias("p")).distinct()
+    w = wanted.select(*by, "path").distinct().withColumn("n", text.lookup_path(F.col("path"))).withColumn("k", last(F.col("n")))
+    c = changes.select(*by, F.col("path").alias("change_path"), F.explode(F.array_compact(F.array("path", "old_path"))).alias("p")).distinct()
     c = c.withColumn("m", text.lookup_path(F.col("p"))).withColumn("k", last(F.col("m"))).drop("p")
-    met = w.join(c, "k").filter((F.col("n") == F.col("m")) | F.endswith("m", F.concat(F.lit("/"), F.col("n"))))
-    met = met.groupBy("path").agg(
+    met = w.join(c, [*by, "k"]).filter((F.col("n") == F.col("m")) | F.endswith("m", F.concat(F.lit("/"), F.col("n"))))
+    met = met.groupBy(*by, "path").agg(
         F.min(F.when(F.col("n") == F.col("m"), F.col("change_path"))).alias("exact"),
         F.count_distinct("change_path").alias("n_found"),
         F.min("change_path").alias("any"),
     )
     found = F.coalesce("exact", F.when(F.col("n_found") == 1, F.col("any")))
-    return wanted.join(met, "path", "left").withColumn("change_path", found).drop("exact", "n_found", "any")
+    return wanted.join(met, [*by, "path"], "left").withColumn("change_path", found).drop("exact", "n_found", "any")

@@ -73,6 +73,25 @@ def test_matching(spark):
     assert all(r["certain"] == (r["distance"] <= 0.03) for r in got)
 
 
+def test_disappeared_meets_by_equality(spark):
+    rng = random.Random(4)
+    runs = spark.createDataFrame([(r, r // 2) for r in range(20)], "run_pk int, started_at int")
+    rows = [(rng.randrange(20), rng.randrange(30)) for _ in range(150)]
+    ex = spark.createDataFrame(rows, "run_pk int, test_id int")
+    got = identity.disappeared(ex, runs)
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    first = {}
+    for r, t in rows:
+        first[t] = min(first.get(t, 99), r // 2)
+    want = {(r, t) for r in range(20) for t in first if first[t] < r // 2 and (r, t) not in rows}
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 50
+
+
+def test_long_chains_close(spark):
+    edges = spark.createDataFrame([(k, k + 1, True) for k in range(400)], "old_id long, new_id long, certain boolean")
+    assert {r["group_id"] for r in identity.groups(edges).collect()} == {400}
+
+
 def test_groups(spark):
     edges = spark.createDataFrame([(1, 5, True), (5, 3, True), (7, 8, False), (9, 7, True)], "old_id long, new_id long, certain boolean")
     got = {r["test_id"]: (r["group_id"], r["uncertain"]) for r in identity.groups(edges).collect()}

@@ -2,10 +2,10 @@ import datetime
 
 import pytest
 
-from runsieve.operators import policy
+from runsieve.operators import metrics, policy
 from runsieve.plans import jobs, render
 from runsieve.plans.store import Store
-from runsieve.sources import codeowners
+from runsieve.sources import codeowners, diff
 
 T0 = datetime.datetime(2024, 1, 1)
 
@@ -24,6 +24,7 @@ def test_from_files_to_verdicts(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     first = put(store, 0, ("test_a", "pass"), ("test_a", "failure"), ("test_long_name_one", "pass"))
     assert (first["cases"], first["inserted"], first["skipped"]) == (3, 2, 1)
+    store.append("warnings", spark.createDataFrame([(first["run_pk"], "f0.xml", "odd", None, T0.date())], store.table("warnings").schema))
     again = put(store, 0, ("test_a", "failure"), sha="other")
     assert (again["inserted"], store.table("runs").count(), store.table("runs").first()["commit_sha"]) == (0, 1, "c0")
     put(store, 1, ("test_a", "failure"), ("test_long_name_one", "pass"), sha="c0", attempt=2)
@@ -47,6 +48,53 @@ def test_from_files_to_verdicts(spark, tmp_path):
     assert jobs.stats(store)[0].first()["calls"] == 0
 
 
+def test_repeated_ingest_changes_nothing(spark, tmp_path):
+    """Warnings with null details too; small tables come in numbered versions, of which the last two stay."""
+    store = Store(spark, str(tmp_path / "store"))
+    files = spark.createDataFrame([("bad.xml", bytearray(b"<testsuite>")), ("none.xml", None)], "origin string, content binary")
+    run = {"run_id": "r", "commit_sha": "c", "started_at": T0}
+    patches = diff.read_patches(spark, str(tmp_path / "missing.patch"))
+    for n in range(4):
+        got = jobs.ingest(store, files, run, patches)
+        assert got["warnings"] == (0 if n else store.table("warnings").count()) and got["inserted"] == 0
+    reasons = [r["reason"] for r in store.table("warnings").collect()]
+    assert sorted(reasons) == ["malformed_xml", "unreadable_file", "unreadable_file"]
+    assert [p.name for p in sorted((tmp_path / "store" / "identities").glob("v-*"))] == ["v-0000000003", "v-0000000004"]
+
+
+def test_newest_version_counts(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    for n in range(3):  # within the clock's grain
+        store.replace("aliases", spark.createDataFrame([(n, n + 1, 0.5, True)], store.table("aliases").schema))
+        assert store.table("aliases").first()["old_id"] == n
+    (tmp_path / "store" / "aliases" / "v-0000000009").mkdir()  # a version that was not written whole
+    assert store.table("aliases").first()["old_id"] == 2
+
+
+def test_lookups(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    pk = put(store, 0, ("test_a", "pass"), ("test_b", "failure"))["run_pk"]
+    put(store, 1, ("test_a", "pass"))
+    one = spark.createDataFrame([(pk,)], "run_pk string")
+    assert store.executions_of(one).count() == 2
+    prints = store.table("identities").select("fingerprint").unionByName(spark.createDataFrame([("none",)], "fingerprint string"))
+    assert sorted(str(r["test_name"]) for r in store.identities_of(prints).collect()) == ["None", "test_a", "test_b"]
+    ids = store.table("identities").select("test_id")
+    assert store.identities_of(ids).count() == 2
+    ex = store.table("executions").join(store.table("identities"), "fingerprint").select("run_pk", "test_id")
+    seen = {r["test_id"]: r["last_seen"] for r in metrics.last_seen(ex, store.table("runs"), T0 + datetime.timedelta(hours=1)).collect()}
+    assert set(seen.values()) == {T0} and len(seen) == 2
+    assert jobs.quarantines(store, T0).count() == 0
+
+
+def test_late_runs_move_the_first_sight(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    put(store, 5, ("test_a", "pass"))
+    put(store, 2, ("test_a", "pass"))
+    row = store.table("identities").first()
+    assert (row["first_seen"], row["last_seen"]) == (T0 + datetime.timedelta(hours=2), T0 + datetime.timedelta(hours=5))
+
+
 def test_newer_store_is_refused(spark, tmp_path):
     (tmp_path / "meta").mkdir()
     (tmp_path / "meta" / "m.json").write_text('{"version": 99}\n')
