@@ -25,18 +25,22 @@ def changes(statuses: Column, always: str) -> Column:
 
 
 def merge_ranges(ranges: Column) -> Column:
-    """Sorted ranges (start, end), with those that overlap or touch made one."""
-    empty = F.slice(ranges, F.lit(1), F.lit(0))
-
-    def step(done, r):
-        last = F.try_element_at(done, F.lit(-1))
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], r["end"]).alias("end"))
-        grown = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(joined))
-        return F.when((F.size(done) > 0) & (r["start"] <= last["end"] + 1), grown).otherwise(
-            F.concat(done, F.array(r))
-        )
-
-    return F.aggregate(F.array_sort(ranges), empty, step)
+    """Sorted ranges (start, end), with those that overlap or touch made one.
+
+    The open range is carried beside those that are done, which grow only where a gap is.
+    """
+    none = F.slice(ranges, F.lit(1), F.lit(0))
+    start = F.struct(none.alias("done"), F.get(ranges, F.lit(-1)).alias("open"))
+
+    def step(s, r):
+        last = s["open"]
+        joins = last.isNotNull() & (r["start"] <= last["end"] + 1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], r["end"]).alias("end"))
+        own = F.struct(r["start"].alias("start"), r["end"].alias("end"))
+        done = F.when(joins | last.isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(last)))
+        return F.struct(done.alias("done"), F.when(joins, longer).otherwise(own).alias("open"))
+
+    return F.aggregate(F.array_sort(ranges), start, step, lambda s: F.when(s["open"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["open"]))))
 
 
 def contains(span: Column, line: Column) -> Column:

@@ -49,8 +49,7 @@ _COMMON = f"""event_id AS execution_id, user_id AS test_id, ts AS started_at,
   CASE WHEN event_id % 11 = 0 THEN 'No space left on device' ELSE concat('failed in src/mod', user_id % 7, '.py') END AS failure_message"""
 
 E = f"e AS (SELECT {_COMMON}, strftime(ts, '%Y-%m-%d') AS commit_sha FROM events)"
-E_SPARSE = f"""e AS (SELECT * EXCLUDE (n) FROM (SELECT {_COMMON}, strftime(ts, '%Y-%m-%d') AS commit_sha,
-  row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS n FROM events) WHERE n = 1)"""
+E_SPARSE = f"e AS (SELECT {_COMMON}, concat('c', event_id) AS commit_sha FROM events)"
 E_ONE_DAY = f"""e AS (SELECT {_COMMON}, strftime(ts, '%Y-%m-%d') AS commit_sha FROM events
   WHERE CAST(ts AS DATE) = (SELECT max(CAST(ts AS DATE)) FROM events))"""
 
@@ -59,16 +58,25 @@ def executions(spark: SparkSession, d: str) -> DataFrame:
     return _executions(read(spark, d, "events"))
 
 
-def _executions(events: DataFrame) -> DataFrame:
-    events.createOrReplaceTempView("_runsieve_events")
-    return events.sparkSession.sql(f"SELECT {_COMMON}, date_format(ts, 'yyyy-MM-dd') AS commit_sha FROM _runsieve_events")
+def _executions(events: DataFrame, sha: str = "date_format(ts, 'yyyy-MM-dd')") -> DataFrame:
+    return events.selectExpr(*_columns(_COMMON), f"{sha} AS commit_sha")
+
+
+def _columns(select: str) -> list[str]:
+    """The items of a select list."""
+    out, depth, start, quoted = [], 0, 0, False
+    for k, c in enumerate(select + ","):
+        quoted ^= c == "'"
+        depth += 0 if quoted else (c == "(") - (c == ")")
+        if c == "," and not depth and not quoted:
+            out.append(select[start:k].strip())
+            start = k + 1
+    return out
 
 
 def sparse(spark: SparkSession, d: str) -> DataFrame:
-    """The first event of each user and day: no commit runs twice."""
-    events = read(spark, d, "events")
-    first = events.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.min(F.struct("ts", "event_id")).alias("k"))
-    return _executions(events.join(first.select(F.col("k.event_id").alias("event_id")), "event_id", "left_semi"))
+    """Every event is a commit of its own: no commit runs twice."""
+    return _executions(read(spark, d, "events"), "concat('c', event_id)")
 
 
 def one_day(spark: SparkSession, d: str) -> DataFrame:
@@ -321,12 +329,12 @@ def report_order(spark, d):
 
 
 @query(
-    f"""WITH {E}, {VERDICT} SELECT test_id, CAST(row_number() OVER (ORDER BY flake_rate DESC, observations DESC, test_id) AS INT) AS rank,
-    CASE WHEN row_number() OVER (ORDER BY flake_rate DESC, observations DESC, test_id) > 25 THEN 'budget_exhausted' END AS skip_reason
-    FROM v WHERE verdict IN ('flaky', 'persistent_failure')"""
+    f"""WITH {E}, {VERDICT}, o AS (SELECT test_id, CAST(row_number() OVER (ORDER BY flake_rate DESC, observations DESC, test_id) AS INT) AS rank FROM v WHERE verdict IN ('flaky', 'persistent_failure'))
+    SELECT test_id, CASE WHEN rank <= 25 THEN rank ELSE 0 END AS rank, CASE WHEN rank > 25 THEN 'budget_exhausted' END AS skip_reason FROM o"""
 )
 def batch_cap(spark, d):
-    return causes.batch(history.needs_cause(found(spark, d)), Cause().max_tests).select("test_id", "rank", "skip_reason")
+    rows = causes.batch(history.needs_cause(found(spark, d)), Cause().max_tests)
+    return rows.select("test_id", F.coalesce("rank", F.lit(0)).alias("rank"), "skip_reason")
 
 
 # ---- policy -----------------------------------------------------------------
@@ -418,9 +426,13 @@ def calls(spark, d):
     )
 
 
-def priced(spark, d):
+def _prices(spark):
     table = [(1, "small-1", 1.0, 5.0), (2, "large-2", 3.0, 15.0), (3, "large", 9.0, 9.0), (4, "small", 7.0, 7.0)]
-    return causes.price(calls(spark, d), spark.createDataFrame(table, "price_no int, model string, usd_in double, usd_out double"))
+    return spark.createDataFrame(table, "price_no int, model string, usd_in double, usd_out double")
+
+
+def priced(spark, d):
+    return causes.price(calls(spark, d), _prices(spark))
 
 
 @query(f"WITH {_PRICED} SELECT call_id, cost_usd FROM priced")
@@ -428,18 +440,71 @@ def token_cost(spark, d):
     return priced(spark, d).select("call_id", "cost_usd")
 
 
-@query(f"WITH {_CALLS} SELECT model, count(*) AS n, CASE WHEN model = 'other' THEN 0 ELSE 1 END AS is_priced FROM calls GROUP BY 1")
+@query(
+    f"""WITH {_CALLS}, p(price_no, m, usd_in, usd_out) AS (VALUES (1, 'small-1', 1.0::DOUBLE, 5.0::DOUBLE), (2, 'large-2', 3.0, 15.0), (3, 'large', 9.0, 9.0), (4, 'small', 7.0, 7.0)),
+    best AS (SELECT model, min(price_no) AS price_no FROM (SELECT DISTINCT model FROM calls) c JOIN p ON starts_with(model, m) OR starts_with(m, model) GROUP BY 1)
+    SELECT model, count(*) AS n, max(usd_in) AS usd_in, max(usd_out) AS usd_out FROM calls LEFT JOIN best USING (model) LEFT JOIN p USING (price_no) GROUP BY 1"""
+)
 def price_prefix(spark, d):
-    rows = priced(spark, d).withColumn("is_priced", F.when(F.col("model") == "other", 0).otherwise(1))
-    return rows.groupBy("model").agg(F.count("*").alias("n"), F.max("is_priced").alias("is_priced"))
+    """The price that each model's calls meet: by prefix either way, the first of several, none for some."""
+    million = calls(spark, d).select("model").withColumns({"input_tokens": F.lit(1_000_000), "output_tokens": F.lit(0)})
+    table = _prices(spark)
+    both = causes.price(million, table).withColumnRenamed("cost_usd", "usd_in").withColumns({"input_tokens": F.lit(0), "output_tokens": F.lit(1_000_000)})
+    rows = causes.price(both, table).withColumnRenamed("cost_usd", "usd_out")
+    none = lambda c: F.nullif(F.max(c), F.lit(0.0)).alias(c)
+    return rows.groupBy("model").agg(F.count("*").alias("n"), none("usd_in"), none("usd_out"))
 
 
 @query(
-    f"""WITH {_CALLS} SELECT count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
-    count(*) FILTER (error IS NOT NULL) AS errors FROM calls"""
+    f"""WITH {_PRICED} SELECT count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
+    CAST(round(sum(CAST(round(cost_usd * 1000000) AS BIGINT))) AS BIGINT) AS micro_usd, count(*) FILTER (error IS NOT NULL) AS errors FROM priced"""
 )
 def call_totals(spark, d):
-    return metrics.call_totals(priced(spark, d)).select("calls", "input_tokens", "output_tokens", "errors")
+    """Costs are whole millionths of a dollar here, so that their sum has no rounding of its own."""
+    out = metrics.call_totals(priced(spark, d))
+    return out.select("calls", "input_tokens", "output_tokens", F.round(F.col("cost_usd") * 1e6).cast("long").alias("micro_usd"), "errors")
+
+
+@query(
+    f"""WITH {_PRICED}, c AS (SELECT round(sum(cost_usd) * 1000000) AS s, count(*) AS n FROM priced)
+    SELECT CAST(round(s / (SELECT count(*) FROM events WHERE event_type = 'view')) AS BIGINT) AS micro_usd FROM c"""
+)
+def cost_per_classification(spark, d):
+    views = read(spark, d, "events").filter("event_type = 'view'")
+    out = metrics.cost_per_classification(priced(spark, d), views)
+    return out.select(F.round(F.col("cost_per_classification") * 1e6).cast("long").alias("micro_usd"))
+
+
+@query(
+    """SELECT o_orderpriority AS cause, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, o_orderpriority) AS BIGINT) AS place FROM orders GROUP BY 1"""
+)
+def cause_map(spark, d):
+    """Map-valued summary: how often each value stands, and their order by falling count."""
+    m = metrics.as_map(read(spark, d, "orders"), "o_orderpriority")
+    return m.select("counts", F.posexplode("ranked").alias("k", "cause")).select("cause", F.col("counts")[F.col("cause")].alias("n"), (F.col("k") + 1).cast("long").alias("place"))
+
+
+_STATES = """q AS (SELECT o_orderkey AS record_id, o_custkey AS test_id, CASE o_orderstatus WHEN 'O' THEN 'active' WHEN 'F' THEN 'released' ELSE 'recommended' END AS state,
+  CAST(o_orderdate AS TIMESTAMP) AS expires_at FROM orders), i AS (SELECT c_custkey AS test_id, c_name AS test_name FROM customer)"""
+
+
+@query(
+    f"""WITH {_STATES} SELECT record_id, test_name, state, expires_at <= TIMESTAMP '1996-06-04' AS expiring, row_number() OVER (ORDER BY expires_at, record_id) AS place
+    FROM q JOIN i USING (test_id) WHERE state <> 'released'"""
+)
+def quarantine_listing(spark, d):
+    o = read(spark, d, "orders").selectExpr(
+        "o_orderkey AS record_id", "o_custkey AS test_id", "CASE o_orderstatus WHEN 'O' THEN 'active' WHEN 'F' THEN 'released' ELSE 'recommended' END AS state", "CAST(o_orderdate AS TIMESTAMP_NTZ) AS expires_at", "1L AS event_no"
+    )
+    ids = read(spark, d, "customer").selectExpr("c_custkey AS test_id", "'' AS suite_path", "c_name AS test_name", "'' AS parameters")
+    listed = policy.listing(o, ids, F.lit(NOW).cast("timestamp_ntz"), 3).withColumn("k", F.monotonically_increasing_id())
+    return listed.select("record_id", "test_name", "state", "expiring", F.row_number().over(Window.orderBy("k")).cast("long").alias("place"))  # a report
+
+
+@query("SELECT o_orderpriority AS code, array_to_string(list_transform(string_split(replace(substr(o_orderpriority, 3), ' ', '_'), '_'), lambda x: x[1]), '') AS short FROM orders GROUP BY 1, 2")
+def initialisms(spark, d):
+    code = F.replace(F.substr("o_orderpriority", F.lit(3)), F.lit(" "), F.lit("_"))
+    return read(spark, d, "orders").select(F.col("o_orderpriority").alias("code"), text.initialism(code).alias("short")).distinct()
 
 
 @query(
@@ -593,17 +658,13 @@ def rename_matches(spark, d):
     return identity.match_renames(identity.similar_pairs(*_sides(spark, d), _LOOSE), _LOOSE)
 
 
-def _all_edges(spark, d):
+def _edges(spark, d):
     return read(spark, d, "orders").select(
-        F.col("o_custkey").alias("old_id"), (F.col("o_custkey") + F.col("o_orderkey") % 2 + 1).alias("new_id"), (F.col("o_orderkey") % 100 / F.lit(100.0)).alias("similarity"), (F.col("o_orderkey") % 10 > 0).alias("certain"), "o_orderkey"
+        F.col("o_custkey").alias("old_id"), (F.col("o_custkey") + F.col("o_orderkey") % 2 + 1).alias("new_id"), (F.col("o_orderkey") % 100 / F.lit(100.0)).alias("similarity"), (F.col("o_orderkey") % 10 > 0).alias("certain")
     )
 
 
-def _edges(spark, d):
-    return _all_edges(spark, d).filter("o_orderkey % 3 = 0 AND old_id % 4 = 0").drop("o_orderkey")
-
-
-_EDGES = "ed AS (SELECT * FROM (SELECT o_custkey AS old_id, o_custkey + o_orderkey % 2 + 1 AS new_id, (o_orderkey % 100) / 100.0::DOUBLE AS similarity, o_orderkey % 10 > 0 AS certain FROM orders WHERE o_orderkey % 3 = 0) WHERE old_id % 4 = 0)"
+_EDGES = "ed AS (SELECT o_custkey AS old_id, o_custkey + o_orderkey % 2 + 1 AS new_id, (o_orderkey % 100) / 100.0::DOUBLE AS similarity, o_orderkey % 10 > 0 AS certain FROM orders)"
 
 
 @query(f"WITH {_EDGES} SELECT old_id, new_id, max(similarity) AS similarity, bool_or(certain) AS certain FROM ed GROUP BY 1, 2")
@@ -612,42 +673,22 @@ def alias_upsert(spark, d):
     return identity.upsert_aliases(e.filter("similarity < 0.5"), e.filter("similarity >= 0.5"))
 
 
-@query(
-    f"""WITH {_EDGES}, g AS (SELECT old_id, max(new_id) AS group_id, bool_or(NOT certain) AS uncertain FROM ed GROUP BY 1)
-    SELECT old_id AS test_id, group_id, uncertain FROM g UNION SELECT new_id, group_id, uncertain FROM ed JOIN g USING (old_id)"""
-)
-def alias_groups(spark, d):
-    return identity.groups(_edges(spark, d))
-
-
-_ALL_EDGES = "ed AS (SELECT o_custkey AS old_id, o_custkey + o_orderkey % 2 + 1 AS new_id, (o_orderkey % 100) / 100.0::DOUBLE AS similarity, o_orderkey % 10 > 0 AS certain FROM orders)"
-
-
-@query(f"WITH {_ALL_EDGES} SELECT old_id, new_id, max(similarity) AS similarity, bool_or(certain) AS certain FROM ed GROUP BY 1, 2")
-def alias_upsert_all(spark, d):
-    e = _all_edges(spark, d).drop("o_orderkey")
-    return identity.upsert_aliases(e.filter("similarity < 0.5"), e.filter("similarity >= 0.5"))
-
-
 @query()
-def alias_groups_all(spark, d):
+def alias_groups(spark, d):
     """No SQL: chains through the ids of all orders; tests hold it against a plain loop."""
-    return identity.groups(_all_edges(spark, d).drop("o_orderkey"))
+    return identity.groups(_edges(spark, d))
 
 
-_ALL_RUNS = _RUNS = """rx AS (SELECT CAST(event_id % 40 AS INT) AS run_pk, user_id AS test_id FROM events), rs AS (SELECT DISTINCT run_pk, run_pk // 2 AS ord FROM rx),
+_RUNS = """rx AS (SELECT CAST(event_id % 40 AS INT) AS run_pk, user_id AS test_id FROM events), rs AS (SELECT DISTINCT run_pk, run_pk // 2 AS ord FROM rx),
 first AS (SELECT test_id, min(ord) AS f FROM rx JOIN rs USING (run_pk) GROUP BY 1)"""
 
 
-def _runs(spark, d, rows="user_id % 9 > 0 OR event_id % 40 > 20"):
-    ex = read(spark, d, "events").filter(rows).select((F.col("event_id") % 40).cast("int").alias("run_pk"), F.col("user_id").alias("test_id"))
+def _runs(spark, d):
+    ex = read(spark, d, "events").select((F.col("event_id") % 40).cast("int").alias("run_pk"), F.col("user_id").alias("test_id"))
     runs = ex.select("run_pk").distinct().withColumn("started_at", F.expr("run_pk div 2"))
     return ex, runs
 
 
-_RUNS = _RUNS.replace("FROM events)", "FROM events WHERE user_id % 9 > 0 OR event_id % 40 > 20)")
-
-
 @query(f"WITH {_RUNS} SELECT DISTINCT run_pk, test_id FROM rs JOIN first ON f < ord WHERE NOT EXISTS (SELECT 1 FROM rx WHERE rx.run_pk = rs.run_pk AND rx.test_id = first.test_id)")
 def disappeared(spark, d):
     return identity.disappeared(*_runs(spark, d))
@@ -658,14 +699,9 @@ def appeared(spark, d):
     return identity.appeared(*_runs(spark, d))
 
 
-@query(f"WITH {_ALL_RUNS} SELECT DISTINCT run_pk, test_id FROM rs JOIN first ON f < ord WHERE NOT EXISTS (SELECT 1 FROM rx WHERE rx.run_pk = rs.run_pk AND rx.test_id = first.test_id)")
-def disappeared_all(spark, d):
-    return identity.disappeared(*_runs(spark, d, "true"))
-
-
-@query(f"WITH {_ALL_RUNS} SELECT DISTINCT rx.run_pk, rx.test_id FROM rx JOIN rs USING (run_pk) JOIN first ON first.test_id = rx.test_id AND f = ord")
-def appeared_all(spark, d):
-    return identity.appeared(*_runs(spark, d, "true"))
+@query(f"WITH {_RUNS} SELECT test_id, max(ord) AS last_seen FROM rx JOIN rs USING (run_pk) GROUP BY 1")
+def last_seen(spark, d):
+    return metrics.last_seen(*_runs(spark, d))
 
 
 @query("SELECT CAST(0 AS BIGINT) AS new_rows, count(DISTINCT (o_custkey, o_orderstatus)) AS rows_kept FROM orders")
@@ -703,6 +739,21 @@ def keyword_causes(spark, d):
     return read(spark, d, "documents").select("doc_id", guess.alias("cause"))
 
 
+_SAID = {
+    "INFRA_FLAKE": "No space left on device", "RESOURCE_EXHAUSTION": "java.lang.OutOfMemoryError", "EXTERNAL_DEPENDENCY": "got status code 503", "SHARED_STATE_LEAK": "duplicate key value",
+    "RACE_CONDITION": "WARNING: DATA RACE", "TIMING_DEPENDENCY": "deadline exceeded", "TEST_ORDER_DEPENDENCY": "passes when run with others",
+}
+_SAYS = "CASE event_id % 9 " + " ".join(f"WHEN {k} THEN '{m}'" for k, m in enumerate(_SAID.values())) + " WHEN 7 THEN 'timed out: address already in use' ELSE 'odd' END"
+_MEANT = "CASE event_id % 9 " + " ".join(f"WHEN {k} THEN '{c}'" for k, c in enumerate(_SAID)) + " WHEN 7 THEN 'RESOURCE_EXHAUSTION' ELSE CASE WHEN event_id % 2 = 1 THEN 'TEST_ORDER_DEPENDENCY' ELSE 'UNKNOWN' END END"
+
+
+@query(f"SELECT event_id, {_MEANT} AS cause FROM events")
+def default_causes(spark, d):
+    """The rules as they come, by whole messages; the earlier of two rules, and failures on one shard alone."""
+    e = read(spark, d, "events").withColumn("m", F.expr(_SAYS))
+    return e.select("event_id", text.keyword_cause(F.lit(None).cast("string"), F.col("m"), F.lit(""), F.col("event_id") % 2).alias("cause"))
+
+
 _RANGE = "l_orderkey AS k, l_linenumber * 10 AS s, l_linenumber * 10 + CAST(floor(l_quantity) AS INT) % 15 AS e"
 
 
@@ -721,23 +772,22 @@ def merge_ranges(spark, d):
 @query(f"WITH l AS (SELECT {_RANGE} FROM lineitem) SELECT a.k, a.s AS a, b.s AS b FROM l a JOIN l b ON a.k = b.k AND a.s < b.s AND a.s <= b.e AND b.s <= a.e")
 def line_range_overlap(spark, d):
     l = read(spark, d, "lineitem").selectExpr(*[x.strip() for x in _RANGE.split(", ")])
-    x, y = l.select("k", F.col("s").alias("a"), F.col("e").alias("ae")), l.select("k", F.col("s").alias("b"), F.col("e").alias("be"))
-    return x.join(y, "k").filter("a < b AND a <= be AND b <= ae").select("k", "a", "b")  # an order has few lines
+    x, y = (l.select("k", F.struct(F.col("s").alias("start"), F.col("e").alias("end")).alias(n)) for n in "ab")
+    met = x.join(y, "k").filter(series.overlaps(F.col("a"), F.col("b")) & (F.col("a.start") < F.col("b.start")))  # an order has few lines
+    return met.select("k", F.col("a.start").alias("a"), F.col("b.start").alias("b"))
 
 
-@query(
-    """WITH l AS (SELECT DISTINCT l_suppkey AS k, l_linenumber + CAST(floor(l_quantity) AS INT) AS n FROM lineitem WHERE l_suppkey % 5 = 0),
-    g AS (SELECT *, n - row_number() OVER (PARTITION BY k ORDER BY n) AS i FROM l) SELECT k, CAST(min(n) AS BIGINT) AS range_start, CAST(max(n) AS BIGINT) AS range_end FROM g GROUP BY k, i"""
-)
-def line_runs(spark, d):
-    return _line_runs(read(spark, d, "lineitem").filter("l_suppkey % 5 = 0"))
+@query(f"WITH l AS (SELECT {_RANGE} FROM lineitem) SELECT k, s, e, s <= 30 AND 30 <= e AS holds FROM l")
+def line_in_range(spark, d):
+    l = read(spark, d, "lineitem").selectExpr(*[x.strip() for x in _RANGE.split(", ")])
+    return l.select("k", "s", "e", series.contains(F.struct(F.col("s").alias("start"), F.col("e").alias("end")), F.lit(30)).alias("holds"))
 
 
 @query(
     """WITH l AS (SELECT DISTINCT l_suppkey AS k, l_linenumber + CAST(floor(l_quantity) AS INT) AS n FROM lineitem),
     g AS (SELECT *, n - row_number() OVER (PARTITION BY k ORDER BY n) AS i FROM l) SELECT k, CAST(min(n) AS BIGINT) AS range_start, CAST(max(n) AS BIGINT) AS range_end FROM g GROUP BY k, i"""
 )
-def line_runs_all(spark, d):
+def line_runs(spark, d):
     return _line_runs(read(spark, d, "lineitem"))
 
 
@@ -825,14 +875,24 @@ def validate_reply(spark, d):
     return causes.check_replies(rows, Cause().confidence_floor).select("event_id", "downgrade_reason")
 
 
-@query()
+@query(
+    """SELECT concat('user-', user_id) AS source_file, concat('t', event_id) AS name, CASE event_type WHEN 'error' THEN 'fail' WHEN 'signup' THEN 'skip' ELSE 'pass' END AS outcome,
+    event_id % 5000 AS duration_ms, CASE WHEN event_type = 'error' THEN concat('m<', event_id, '>') END AS failure_message,
+    CASE WHEN event_type = 'error' THEN concat('trace & ', event_id) END AS stack_trace FROM events"""
+)
 def junit_parse(spark, d):
-    """Rows only: an XML file for each user's events, parsed again."""
-    e = read(spark, d, "events")
-    case = F.concat(F.lit('<testcase name="t'), F.col("event_id").cast("string"), F.lit('" time="'), F.col("value").cast("string"), F.when(F.col("event_type") == "error", '"><failure message="m">trace</failure></testcase>').otherwise('"/>'))
+    """An XML file for each user's events, with escapes; parsed again, the rows are the events."""
+    e = read(spark, d, "events").withColumn("id", F.col("event_id").cast("string"))
+    body = (
+        F.when(F.col("event_type") == "error", F.concat(F.lit('><failure message="m&lt;'), "id", F.lit('&gt;">trace &amp; '), "id", F.lit("</failure></testcase>")))
+        .when(F.col("event_type") == "signup", "><skipped/></testcase>")
+        .otherwise("/>")
+    )
+    took = F.format_string("%d.%03d", (F.col("event_id") % 5000 / 1000).cast("int"), F.col("event_id") % 1000)
+    case = F.concat(F.lit('<testcase name="t'), "id", F.lit('" time="'), took, F.lit('"'), body)
     files = e.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list(case)), "").alias("x"))
     files = files.select(F.concat(F.lit("user-"), "user_id").alias("origin"), F.encode(F.concat(F.lit('<testsuite name="s">'), "x", F.lit("</testsuite>")), "UTF-8").alias("content"))
-    return junit.parse_files(files)[0].select("source_file", "name", "outcome", "duration_ms", "failure_message")
+    return junit.parse_files(files)[0].select("source_file", "name", "outcome", "duration_ms", "failure_message", "stack_trace")
 
 
 @query(
@@ -850,3 +910,27 @@ def diff_parse(spark, d):
     total = F.aggregate("new_ranges", F.lit(0).cast("long"), lambda s, r: s + r["end"] - r["start"] + 1)
     return changes.select("origin", "path", F.size("new_ranges").cast("long").alias("n_ranges"), total.alias("n_lines"))
 
+
+_LINE = "lower(replace(p_brand, '#', ''))"
+_BODY = f"""concat('diff --git a/src/', {_LINE}, p_partkey, '.py b/', CASE p_partkey % 4 WHEN 2 THEN 'new' ELSE 'src' END, '/', {_LINE}, p_partkey, '.py', chr(10),
+  CASE p_partkey % 4 WHEN 0 THEN concat('new file mode 100644', chr(10), '--- /dev/null', chr(10), '+++ b/src/', {_LINE}, p_partkey, '.py')
+    WHEN 1 THEN concat('deleted file mode 100644', chr(10), '--- a/src/', {_LINE}, p_partkey, '.py', chr(10), '+++ /dev/null')
+    WHEN 2 THEN concat('rename from src/', {_LINE}, p_partkey, '.py', chr(10), 'rename to new/', {_LINE}, p_partkey, '.py')
+    ELSE concat('Binary files a/src/', {_LINE}, p_partkey, '.py and b/src/', {_LINE}, p_partkey, '.py differ') END, chr(10),
+  CASE WHEN p_partkey % 4 < 3 THEN concat('@@ -', p_size, ',4 +', p_size, ',5 @@ def f', chr(10), ' same', chr(10), '-gone', chr(10), '+one', chr(10), '+two', chr(10), '', chr(10), '-last', chr(10), '+x') ELSE '' END)"""
+
+
+@query(
+    f"""SELECT p_partkey % 30 AS origin, concat(CASE p_partkey % 4 WHEN 2 THEN 'new/' ELSE 'src/' END, {_LINE}, p_partkey, '.py') AS path,
+    CASE WHEN p_partkey % 4 = 2 THEN concat('src/', {_LINE}, p_partkey, '.py') END AS old_path,
+    CASE p_partkey % 4 WHEN 0 THEN 'added' WHEN 1 THEN 'deleted' WHEN 2 THEN 'renamed' ELSE 'modified' END AS change_type, p_partkey % 4 = 3 AS is_binary,
+    CASE WHEN p_partkey % 4 < 3 THEN concat(p_size + 1, '-', p_size + 2, ',', p_size + 4, '-', p_size + 4) ELSE '' END AS new_ranges,
+    CASE WHEN p_partkey % 4 < 3 THEN concat(p_size + 1, '-', p_size + 1, ',', p_size + 3, '-', p_size + 3) ELSE '' END AS old_ranges FROM part"""
+)
+def diff_files(spark, d):
+    """Patches of many files: added, deleted, renamed and binary ones, with lines added, removed and in common."""
+    p = read(spark, d, "part").select((F.col("p_partkey") % 30).cast("string").alias("origin"), "p_partkey", F.expr(_BODY.replace("chr(10)", "'\\n'")).alias("b"))
+    p = p.groupBy("origin").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "b"))), lambda x: x["b"]), "\n").alias("body"))
+    changes, _ = diff.parse_patches(p)
+    spans = lambda c: F.array_join(F.transform(c, lambda r: F.concat_ws("-", r["start"], r["end"])), ",").alias(c)
+    return changes.select(F.col("origin").cast("long").alias("origin"), "path", "old_path", "change_type", F.col("binary").alias("is_binary"), spans("new_ranges"), spans("old_ranges"))

@@ -1,10 +1,15 @@
-"""Unified diffs as tables: files, hunks and lines by running counts, ranges by islands."""
+"""Unified diffs as tables: patches split into files and hunks, ranges by a fold over a hunk's lines.
+
+Everything about a file is worked out within its row, so that parsing needs no shuffle.
+"""
 
 from __future__ import annotations
 
+import functools
+import operator
 import subprocess
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -38,109 +43,106 @@ def from_git(spark: SparkSession, base: str, head: str, cwd: str | None = None,
     return spark.createDataFrame([(origin, body, problem)], "origin string, body string, problem string")
 
 
-def _lines(patches: DataFrame) -> DataFrame:
-    split = F.posexplode(F.split(F.coalesce("body", F.lit("")), text.LINE_END)).alias("pos", "line")
-    rows = patches.select("origin", split)
-    line, starts = F.col("line"), lambda p: F.startswith("line", F.lit(p))
-    kind = (
-        F.when(starts("diff --git "), "header")
-        .when(starts("new file mode"), "added")
-        .when(starts("deleted file mode"), "deleted")
-        .when(starts("Binary files") | starts("GIT binary patch"), "binary")
-        .when(line.rlike("^rename from .+$"), "from")
-        .when(line.rlike("^rename to .+$"), "to")
-        .when(starts("--- "), "old")
-        .when(starts("+++ "), "new")
-        .when(line.rlike(HUNK), "hunk")
-        .when(starts("+") & ~starts("+++"), "+")
-        .when(starts("-") & ~starts("---"), "-")
-        .when(starts(" ") | starts("\t") | (line == ""), "=")
-        .otherwise("other")
-    )
-    by_file = Window.partitionBy("origin").orderBy("pos")
-    rows = rows.withColumn("kind", kind).withColumn("file", F.count_if(F.col("kind") == "header").over(by_file))
-    by_hunk = Window.partitionBy("origin", "file").orderBy("pos")
-    return rows.withColumn("hunk", F.count_if(F.col("kind") == "hunk").over(by_hunk))
-
-
-def _files(rows: DataFrame) -> DataFrame:
-    line, kind = F.col("line"), F.col("kind")
-    body = F.when(kind.isin("old", "new"), text.trim(F.substr(line, F.lit(5)))).when(kind == "from", F.substr(line, F.lit(13))).when(kind == "to", F.substr(line, F.lit(11)))
-    rows = rows.withColumn("said", body).withColumn("nowhere", F.col("said") == "/dev/null")
-    given = lambda k, pick: pick(F.when((kind == k) & ~F.col("nowhere"), text.diff_path(F.col("said"))), F.when((kind == k) & ~F.col("nowhere"), F.col("pos")))
-    change = (
-        F.when((kind == "added") | ((kind == "old") & F.col("nowhere")), "added")
-        .when((kind == "deleted") | ((kind == "new") & F.col("nowhere")), "deleted")
-        .when(kind.isin("from", "to"), "renamed")
-    )
-    head = lambda n: F.max(F.when(kind == "header", F.nullif(text.diff_path(F.regexp_extract(line, HEADER, n)), F.lit(""))))
-    out = rows.groupBy("origin", "file").agg(
-        F.coalesce(given("from", F.max_by), head(1), given("old", F.min_by)).alias("old_path"),
-        F.coalesce(given("to", F.max_by), head(2), given("new", F.min_by)).alias("path"),
-        F.coalesce(F.max_by(change, F.when(change.isNotNull(), F.col("pos"))), F.lit("modified")).alias("change_type"),
-        F.coalesce(F.bool_or(kind == "binary"), F.lit(False)).alias("binary"),
-        F.coalesce(F.bool_or((kind == "new") & F.col("nowhere")), F.lit(False)).alias("gone"),
-    )
-    return out.withColumn("path", F.coalesce("path", F.when(F.col("gone"), F.col("old_path")))).drop("gone").filter("path IS NOT NULL")
-
+_MARKS = ("diff --git ", "new file mode", "deleted file mode", "Binary files", "GIT binary patch", "rename from ", "rename to ", "--- ", "+++ ")
+_SPAN = "array<struct<start:bigint,end:bigint>>"
+
+
+def _files(patches: DataFrame) -> DataFrame:
+    """(origin, header, marks, hunks): a row for each file of a patch, and one for what stands before the first."""
+    blob = F.explode(F.split(F.coalesce("body", F.lit("")), f"{text.LINE_END}(?=diff --git )")).alias("blob")
+    rows = patches.select("origin", blob)
+    marked = lambda l: functools.reduce(operator.or_, [F.startswith(l, F.lit(m)) for m in _MARKS])
+    hunks = F.filter(F.split("blob", f"{text.LINE_END}(?={HUNK[1:]})"), lambda h: h.rlike(HUNK))
+    rows = rows.withColumns({"marks": F.filter(F.split("blob", text.LINE_END), marked), "hunks": hunks}).drop("blob")
+    first = F.get("marks", F.lit(0))
+    return rows.withColumn("header", F.when(F.startswith(first, F.lit("diff --git ")), first))
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    """rows with old_path, path, change_type and binary, from the lines that say so."""
+    starts = lambda *p: lambda l: functools.reduce(operator.or_, [F.startswith(l, F.lit(x)) for x in p])
+    body = lambda n: lambda l: text.trim(F.substr(l, F.lit(n)))
+    nowhere = lambda l: body(5)(l) == "/dev/null"
+    here = lambda k: F.filter("marks", lambda l: starts(k)(l) & ~nowhere(l))
+    moved = lambda k, n: F.try_element_at(F.filter(F.transform(F.filter("marks", starts(k)), lambda l: F.substr(l, F.lit(n))), lambda p: (p != "") & (p != "/dev/null")), F.lit(-1))
+    head = lambda n: F.nullif(text.diff_path(F.regexp_extract("header", HEADER, n)), F.lit(""))
+
+    def change(l):
+        gone_old, gone_new = starts("--- ")(l) & nowhere(l), starts("+++ ")(l) & nowhere(l)
+        return (
+            F.when(starts("new file mode")(l) | gone_old, "added")
+            .when(starts("deleted file mode")(l) | gone_new, "deleted")
+            .when(l.rlike("^rename (from|to) .+$"), "renamed")
+        )
 
-def _ranges(rows: DataFrame) -> DataFrame:
-    """(origin, file, side, start, end) of every run of added or removed lines, or of a bare hunk header."""
-    rows = rows.filter("hunk > 0")
-    whole = Window.partitionBy("origin", "file", "hunk")
-    so_far = whole.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    number = lambda n: F.nullif(F.regexp_extract("line", HUNK, n), F.lit("")).cast("long")
-    on_head = lambda c: F.max(F.when(F.col("kind") == "hunk", c)).over(whole)
-    before = lambda *k: F.coalesce(F.sum(F.col("kind").isin(*k).cast("long")).over(so_far), F.lit(0))
-    rows = rows.withColumns(
+    out = rows.withColumns(
         {
-            "old_at": F.greatest(on_head(number(1)), F.lit(1)) + before("-", "="),
-            "new_at": F.greatest(on_head(number(3)), F.lit(1)) + before("+", "="),
-            "bare": F.count_if(F.col("kind").isin("+", "-")).over(whole) == 0,
+            "old_path": F.coalesce(text.diff_path(moved("rename from ", 13)), head(1), text.diff_path(body(5)(F.get(here("--- "), F.lit(0))))),
+            "path": F.coalesce(text.diff_path(moved("rename to ", 11)), head(2), text.diff_path(body(5)(F.get(here("+++ "), F.lit(0))))),
+            "change_type": F.coalesce(F.try_element_at(F.array_compact(F.transform("marks", change)), F.lit(-1)), F.lit("modified")),
+            "binary": F.exists("marks", starts("Binary files", "GIT binary patch")),
+            "gone": F.exists("marks", lambda l: starts("+++ ")(l) & nowhere(l)),
         }
     )
-    moved = rows.filter("kind IN ('+', '-')").select(
-        "origin", "file", "hunk", F.col("kind").alias("side"), F.when(F.col("kind") == "+", F.col("new_at")).otherwise(F.col("old_at")).alias("at")
-    )
-    step = Window.partitionBy("origin", "file", "hunk", "side").orderBy("at")
-    moved = moved.withColumn("island", F.col("at") - F.row_number().over(step))
-    moved = moved.groupBy("origin", "file", "hunk", "side", "island").agg(F.min("at").alias("start"), F.max("at").alias("end"))
-    heads = rows.filter("kind = 'hunk' AND bare")
-    count = lambda n: F.coalesce(number(n), F.lit(1))
-    sides = F.explode(
-        F.array(
-            F.struct(F.lit("-").alias("side"), F.col("old_at").alias("start"), count(2).alias("n")),
-            F.struct(F.lit("+").alias("side"), F.col("new_at").alias("start"), count(4).alias("n")),
+    return out.withColumn("path", F.coalesce("path", F.when(F.col("gone"), F.col("old_path")))).drop("gone").filter("path IS NOT NULL")
+
+
+def _hunk_ranges(hunk):
+    """struct(new, old): runs of added and removed lines of one hunk, or what its header says if it has none."""
+    number = lambda n: F.nullif(F.regexp_extract(hunk, HUNK, n), F.lit("")).cast("long")
+    old_at, new_at = F.greatest(number(1), F.lit(1)), F.greatest(number(3), F.lit(1))
+    lines = F.split(hunk, text.LINE_END)
+    lines = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
+    none, zero = F.array().cast(_SPAN), F.lit(0).cast("long")
+    side = lambda at: F.struct(at.alias("at"), zero.alias("start"), zero.alias("end"), none.alias("done"))
+    span = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))
+    closed = lambda s: F.when(s["start"] > 0, F.concat(s["done"], F.array(span(s)))).otherwise(s["done"])
+
+    def put(s, hit, moves):
+        """A side after a line: a hit is part of a run; hits and lines in common move it on."""
+        joins = s["end"] == s["at"] - 1
+        return F.struct(
+            F.when(moves, s["at"] + 1).otherwise(s["at"]).alias("at"),
+            F.when(hit & ~(joins & (s["start"] > 0)), s["at"]).otherwise(s["start"]).alias("start"),
+            F.when(hit, s["at"]).otherwise(s["end"]).alias("end"),
+            F.when(hit & ~joins, closed(s)).otherwise(s["done"]).alias("done"),
         )
-    ).alias("s")
-    heads = heads.select("origin", "file", sides).filter("s.n > 0").select("origin", "file", "s.side", "s.start", (F.col("s.start") + F.col("s.n") - 1).alias("end"))
-    return moved.select("origin", "file", "side", "start", "end").unionByName(heads)
+
+    def step(s, l):
+        plus = F.startswith(l, F.lit("+")) & ~F.startswith(l, F.lit("+++"))
+        minus = F.startswith(l, F.lit("-")) & ~F.startswith(l, F.lit("---"))
+        same = F.startswith(l, F.lit(" ")) | F.startswith(l, F.lit("\t")) | (l == "")
+        return F.struct(put(s["new"], plus, plus | same).alias("new"), put(s["old"], minus, minus | same).alias("old"))
+
+    count = lambda n: F.coalesce(number(n), F.lit(1).cast("long"))
+    said = lambda at, n: F.when(count(n) > 0, F.array(F.struct(at.alias("start"), (at + count(n) - 1).alias("end")))).otherwise(none)
+
+    def end(s):
+        bare = (s["new"]["start"] == 0) & (s["old"]["start"] == 0)
+        return F.struct(F.when(bare, said(new_at, 4)).otherwise(closed(s["new"])).alias("new"), F.when(bare, said(old_at, 2)).otherwise(closed(s["old"])).alias("old"))
+
+    return F.aggregate(lines, F.struct(side(new_at).alias("new"), side(old_at).alias("old")), step, end)
 
 
 def parse_patches(patches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(changes, warnings) of patches (origin, body): a row per changed file, with its merged line ranges."""
-    rows = _lines(patches)
-    files = _files(rows)
-    span = F.struct("start", "end")
-    ranges = _ranges(rows).groupBy("origin", "file").agg(
-        F.collect_list(F.when(F.col("side") == "+", span)).alias("new"), F.collect_list(F.when(F.col("side") == "-", span)).alias("old")
-    )
-    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    changes = files.join(ranges, ["origin", "file"], "left").select(
+    rows = _files(patches)
+    files = _named(rows).withColumn("r", F.transform("hunks", _hunk_ranges))
+    changes = files.select(
         "origin",
         "path",
         F.when(F.col("old_path") != F.col("path"), F.col("old_path")).alias("old_path"),
         "change_type",
         "binary",
-        merge_ranges(F.coalesce("new", none)).alias("new_ranges"),
-        merge_ranges(F.coalesce("old", none)).alias("old_ranges"),
+        merge_ranges(F.flatten(F.transform("r", lambda h: h["new"]))).alias("new_ranges"),
+        merge_ranges(F.flatten(F.transform("r", lambda h: h["old"]))).alias("old_ranges"),
     )
     unread = patches.filter("problem IS NOT NULL") if "problem" in patches.columns else patches.limit(0).withColumn("problem", F.lit(""))
     unread = unread.select("origin", F.col("problem").alias("reason"), F.lit(None).cast("string").alias("detail"))
-    bad = rows.filter((F.col("kind") == "header") & ~F.col("line").rlike(HEADER))
-    bad = bad.select("origin", F.lit("bad_diff_header").alias("reason"), F.left("line", F.lit(200)).alias("detail"))
+    bad = rows.filter(F.col("header").isNotNull() & ~F.col("header").rlike(HEADER))
+    bad = bad.select("origin", F.lit("bad_diff_header").alias("reason"), F.left("header", F.lit(200)).alias("detail"))
     empty = patches.filter(text.trim(F.coalesce("body", F.lit(""))) != "").select("origin")
-    empty = empty.join(files.select("origin").distinct(), "origin", "left_anti").join(bad.select("origin").distinct(), "origin", "left_anti")
+    empty = empty.join(_named(rows).select("origin").distinct(), "origin", "left_anti").join(bad.select("origin").distinct(), "origin", "left_anti")
     empty = empty.select("origin", F.lit("no_file_changes_found").alias("reason"), F.lit(None).cast("string").alias("detail"))
     return changes, bad.unionByName(empty).unionByName(unread)
 
