@@ -224,12 +224,12 @@ def coder(model: str, spaced: bool):
 WRITTEN = "part int, n_docs long, n_tokens long, width int"
 
 
-def _groups(col: pa.Array):
-    """(first, end) of runs of texts of at most GROUP_CHARS, or of one text."""
+def groups(col: pa.Array, most: int):
+    """(first, end) of runs of texts of at most so many bytes, or of one text."""
     size = pc.binary_length(col).fill_null(0).to_numpy()
     start, held = 0, 0
     for k, n in enumerate(size.tolist()):
-        if held and held + n > GROUP_CHARS:
+        if held and held + n > most:
             yield start, k
             start, held = k, 0
         held += n
@@ -250,7 +250,7 @@ def _write(model: str, spaced: bool, width: int, end_id: int, folder: str):
             out["off"].write(np.zeros(1, "<u8").tobytes())
             for batch in batches:
                 texts = batch.column("text")
-                for lo, hi in _groups(texts):
+                for lo, hi in groups(texts, GROUP_CHARS):
                     count, flat = code.encode(texts.slice(lo, hi - lo))
                     flat = np.insert(flat, np.cumsum(count), end_id)
                     out["ids"].write(flat.astype(f"<u{width}").tobytes())

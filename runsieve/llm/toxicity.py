@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .blockmax import BlockMaxIndex
 from .common import materialise, read_table
-from .tokenfile import _groups
+from .tokenfile import groups
 
 #: Labelled rows used, at most; of them one in TUNE_EVERY calibrates, the others are examples.
 LABELLED_ROWS, TUNE_EVERY, NEIGHBOURS = 8192, 5, 15
@@ -33,6 +33,8 @@ LEAST_WEIGHT, ERRORS = 0.02, 2.0
 #: Cosines count to so many decimals.
 DIGITS = 9
 TOGETHER, REMEMBER = 64, 100_000
+#: Bytes of text whose words are counted at once.
+GROUP_BYTES = 2_000_000
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -58,16 +60,17 @@ def count_words(texts: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.n
 def _bags(batches):
     """The words of the sample's texts, with counts."""
     for batch in batches:
-        texts = batch.column("text")
-        words, text = words_of(texts)
-        size = max(1, len(words.dictionary))
-        key, count = np.unique(text * size + words.indices.to_numpy(), return_counts=True)
-        word = words.dictionary.take(pa.array(key % size))
-        offsets = pa.array(np.searchsorted(key, np.arange(len(texts) + 1) * size).astype(np.int32))
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("h", "ids", "y")), pa.ListArray.from_arrays(offsets, word), pa.ListArray.from_arrays(offsets, pa.array(count, pa.int32()))],
-            names=["h", "ids", "y", "words", "counts"],
-        )
+        for lo, hi in groups(batch.column("text"), GROUP_BYTES):
+            some = batch.slice(lo, hi - lo)
+            words, text = words_of(some.column("text"))
+            size = max(1, len(words.dictionary))
+            key, count = np.unique(text * size + words.indices.to_numpy(), return_counts=True)
+            word = words.dictionary.take(pa.array(key % size))
+            offsets = pa.array(np.searchsorted(key, np.arange(hi - lo + 1) * size).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [*(some.column(c) for c in ("h", "ids", "y")), pa.ListArray.from_arrays(offsets, word), pa.ListArray.from_arrays(offsets, pa.array(count, pa.int32()))],
+                names=["h", "ids", "y", "words", "counts"],
+            )
 
 
 COUNTED = "doc_id long, terms array<int>, counts array<int>"
@@ -79,7 +82,7 @@ def _vectors(vocabulary: pa.Array):
     def run(batches):
         for batch in batches:
             texts = batch.column("text")
-            for lo, hi in _groups(texts):
+            for lo, hi in groups(texts, GROUP_BYTES):
                 text, word, count = count_words(texts.slice(lo, hi - lo), vocabulary)
                 offsets = pa.array(np.searchsorted(text, np.arange(hi - lo + 1)).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(v, pa.int32())) for v in (word, count)]
@@ -316,7 +319,7 @@ def _clean_rows(model: NearestExamples):
         judge = Judge(model, 0)
         for batch in batches:
             texts = batch.column("text")
-            for lo, hi in _groups(texts):
+            for lo, hi in groups(texts, GROUP_BYTES):
                 text, word, count = count_words(texts.slice(lo, hi - lo), model.vocabulary)
                 said = judge(batch.column("doc_id").slice(lo, hi - lo).to_pylist(), np.searchsorted(text, np.arange(hi - lo + 1)), word, count)
                 yield batch.slice(lo, hi - lo).filter(pa.array([s < 0.5 for s, _, _ in said], pa.bool_()))
