@@ -27,7 +27,7 @@ from .common import materialise, read_table
 from .tokenfile import groups
 
 #: Labelled rows used, at most; of them one in TUNE_EVERY calibrates, the others are examples.
-LABELLED_ROWS, TUNE_EVERY, NEIGHBOURS = 8192, 5, 15
+LABELLED_ROWS, TUNE_EVERY, NEIGHBOURS = 4096, 5, 15
 #: What a word that separates nothing weighs beside its idf, and how many standard errors a word must show.
 LEAST_WEIGHT, ERRORS = 0.02, 2.0
 #: Cosines count to so many decimals.
@@ -208,6 +208,8 @@ def fit_and_vectors(docs: DataFrame, labels: DataFrame) -> tuple[NearestExamples
     n = int((~tune).sum())
     term, doc, impact = _weighed(example[text[mine]], code[word[mine]], count[mine], weights, n)
     start = np.searchsorted(term, np.arange(len(used) + 1))
+    del rows, lists, words, seen, term, mine  # the driver is small
+    pa.default_memory_pool().release_unused()
     first = np.array([min(i) for i, t in zip(ids, tune, strict=True) if not t], np.int64)
     place = {i: int(example[k]) for k in np.flatnonzero(~tune) for i in ids[k]}
     prior = (y.sum() + 0.5) / (len(y) + 1)
