@@ -72,7 +72,8 @@ def nbest_paths(n_nodes: int, into: list[list], n: int) -> list[tuple[float, lis
 class PieceTable:
     """A vocabulary as arrays: a trie in one open-addressed table, scores, byte pieces.
 
-    Chars without a piece fall back to their UTF-8 bytes at `unknown` a char.
+    Chars without a piece fall back to their UTF-8 bytes at `unknown` a char.  A
+    vocabulary in which a piece reaches from a character into a space mark raises.
     """
 
     def __init__(self, pieces: list[str], scores: list[float], plain: list[bool], byte_ids: dict[int, int]):
@@ -81,6 +82,9 @@ class PieceTable:
         self.scores = np.array(scores, float)
         self.ids = {p: i for i, (p, ok) in enumerate(zip(pieces, plain, strict=True)) if ok and p}
         self.longest = max(map(len, self.ids), default=1)
+        across = [p for p in self.ids if MARK in p.lstrip(MARK)]
+        if across:
+            raise ValueError(f"pieces reach over a space mark, so texts don't fall into chunks: {across[:3]}")
         nodes, ends = {(): 0}, [-1]
         edges = []
         for p, i in self.ids.items():

@@ -470,6 +470,25 @@ def test_nbest_is_exact():
             assert sum(float(t.scores[i]) for i in other) == s and t.decode(np.array(other)).decode() == text
 
 
+def test_whole_texts_are_one_lattice():
+    """The product of chunks gives the scores of one lattice over the whole text."""
+    t = pieces.load()
+    known, rng = pieces._Known(t), random.Random(8)
+    for _ in range(60):
+        text = "".join(rng.choice("the no a1 é\n.日") for _ in range(rng.randint(1, 60)))
+        doc = t.split(text, known.find)
+        known.learn(doc)
+        ids, scores, _ = pieces._encode_one(known, doc, 4)
+        whole = t.nbest(pieces.MARK + text.replace(" ", pieces.MARK), 4)
+        assert np.allclose(scores, [s for s, _ in whole])
+        assert t.decode(np.array(ids)).decode() == text
+
+
+def test_pieces_over_a_space_are_refused():
+    with pytest.raises(ValueError, match="space mark"):
+        pieces.PieceTable(["a", "a▁b"], [0.0, -1.0], [True, True], {})
+
+
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="the small tables are not there")
 def test_held_out_accuracy(spark):
     d = SMALL.replace("0.001", "0.1")
