@@ -79,6 +79,7 @@ class PieceTable:
     def __init__(self, pieces: list[str], scores: list[float], plain: list[bool], byte_ids: dict[int, int]):
         self.pieces, self.byte_ids = pieces, byte_ids
         self.unknown = -float(len(pieces))
+        self.key = zlib.crc32(repr((pieces, scores, plain, sorted(byte_ids.items()))).encode()), len(pieces)
         self.scores = np.array(scores, float)
         self.ids = {p: i for i, (p, ok) in enumerate(zip(pieces, plain, strict=True)) if ok and p}
         self.longest = max(map(len, self.ids), default=1)
@@ -274,6 +275,17 @@ class _Known:
         return self.more[chunk]
 
 
+_MEMORY: dict = {}
+
+
+def remembered(table: PieceTable) -> _Known:
+    """What this Python worker knows of a table's chunks: the tasks of a worker share it."""
+    if table.key not in _MEMORY:
+        _MEMORY.clear()
+        _MEMORY[table.key] = _Known(table)
+    return _MEMORY[table.key]
+
+
 def _encode_one(known: _Known, chunks: list[str], n: int):
     """(ids, scores of the n best, edits of the second best and on)."""
     if not chunks:
@@ -329,7 +341,7 @@ def _encode(table: PieceTable, n: int, keep: tuple[str, ...] = ()):
         )
 
     def run(batches):
-        known = _Known(table)
+        known = remembered(table)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             start = chars = 0
