@@ -196,6 +196,35 @@ def test_pivots_spare_documents():
     assert shard.index.scored < 0.1 * shard.index.asked
 
 
+def test_long_queries_read_few_postings():
+    """Long queries, an odd number of documents, counts above 255, documents without an id: exact, by a fifth of the postings."""
+    rng = np.random.default_rng(6)
+    n, weights = 3001, 1 / np.arange(1, 8001) ** 0.9
+    bags = [np.unique(rng.choice(8000, size, p=weights / weights.sum()), return_counts=True) for size in rng.integers(20, 400, n)]
+    bags[7][1][0] = 300
+    lengths = np.array([b[1].sum() for b in bags])
+    terms, docs = np.concatenate([b[0] for b in bags]), np.repeat(np.arange(n), [len(b[0]) for b in bags])
+    tf, order = np.concatenate([b[1] for b in bags]), np.lexsort((docs, terms))
+    own, start = np.unique(terms[order], return_index=True)
+    ids = np.where(np.arange(n) % 50 == 3, search.NULL_ID, np.arange(n))
+    raw = [ids, lengths, own, np.append(start, len(terms)), docs[order].astype(np.int32), tf[order].astype(np.int32)]
+    df = np.diff(raw[3])
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    shard = search.Shard(raw, own, idf, float(lengths.mean()))
+    full = np.zeros((n, len(own)))
+    full[docs[order], np.searchsorted(own, terms[order])] = shard.index.impact
+    queries = [np.searchsorted(own, bags[q][0]) for q in np.argsort(-lengths, kind="stable")[:64]]
+    queries = [q[np.argsort(idf[q], kind="stable")] for q in queries]
+    exact = [np.where(ids == search.NULL_ID, 0, np.round(full[:, q].sum(1), search.DIGITS)) for q in queries]
+    read, plain = [], shard.index._sum
+    shard.index._sum = lambda lists, *more: read.append(shard.index.df[lists].sum()) or plain(lists, *more)
+    found = shard.top(queries, 10, [float(np.sort(e)[-10]) for e in exact])
+    for e, (at, scores) in zip(exact, found, strict=True):
+        best = np.lexsort((np.arange(n), -e))[:10]
+        assert at.tolist() == best.tolist() and scores.tolist() == e[best].tolist()
+    assert sum(read) < 0.2 * sum(int(df[q].sum()) for q in queries)
+
+
 def test_warc_round_trip(spark, tmp_path):
     import gzip
 
