@@ -7,6 +7,8 @@ import os
 import pickle
 import random
 import re
+import tracemalloc
+import types
 import zlib
 
 import numpy as np
@@ -225,6 +227,34 @@ def test_long_queries_read_few_postings():
     assert sum(read) < 0.2 * sum(int(df[q].sum()) for q in queries)
 
 
+def test_shards_take_little_memory(tmp_path, monkeypatch):
+    """Bytes for each posting, at most, when a shard is written and when it is opened for queries that ask for half of its terms."""
+    rng, n, each = np.random.default_rng(8), 2000, 500
+    texts = [" ".join(f"w{k}" for k in rng.choice(6000, each, replace=False)) for _ in range(n)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(n), pa.int64()), "text": texts})
+    monkeypatch.setattr(search, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+
+    def peak(work):
+        tracemalloc.start()
+        out, most = work(), tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most / (n * each), out
+
+    written, rows = peak(lambda: [b.to_pydict() for b in search._index(str(tmp_path))([batch])])
+    load = lambda: search._load(tokenfile.open_fs(str(tmp_path))[0], f"{tmp_path}/shard-00000-0", search.SHARD_KINDS)
+    ids, lengths, own, start, docs, tf = load()
+    want = collections.defaultdict(list)
+    for i, t in enumerate(texts):
+        for h in search.term_hashes(t, minhash.WordHashes()).tolist():
+            want[h].append(i)
+    assert own.tolist() == sorted(want) and docs.tolist() == [i for h in sorted(want) for i in want[h]]
+    assert ids.tolist() == list(range(n)) and set(lengths.tolist()) == {each} and set(tf.tolist()) == {1} and start[-1] == len(tf)
+    assert {t: d for r in rows for t, d in zip(r["term"], r["df"], strict=True) if t is not None} == {h: len(v) for h, v in want.items()}
+    opened, shard = peak(lambda: search.Shard(load(), own[::2], np.ones(len(own[::2])), 500.0))
+    assert len(shard.index.impact) == np.diff(start)[::2].sum()
+    assert written < 30 and opened < 20, (written, opened)
+
+
 def test_warc_round_trip(spark, tmp_path):
     import gzip
 
