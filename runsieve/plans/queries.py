@@ -655,7 +655,7 @@ def similar_names(spark, d):
 @query()
 def rename_matches(spark, d):
     """No SQL: rounds of tied ranks; tests hold it against a plain loop."""
-    return identity.match_renames(identity.similar_pairs(*_sides(spark, d), _LOOSE), _LOOSE)
+    return identity.renames(*_sides(spark, d), _LOOSE)
 
 
 def _edges(spark, d):
