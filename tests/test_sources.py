@@ -1,3 +1,4 @@
+import pandas as pd
 import pytest
 
 from runsieve.config import load
@@ -167,3 +168,20 @@ def test_durations_and_instants():
     assert jobs.instant("2024-01-01T02:00:00+02:00") == jobs.instant("2024-01-01T00:00:00")
     with pytest.raises(ValueError):
         jobs.duration("soon")
+
+
+def test_cases_are_handed_over_in_small_lots(spark):
+    """A worker holds few rows at once, however many files a batch has."""
+
+    class Files:
+        def mapInPandas(self, f, schema):
+            self.run = f
+            return spark.createDataFrame([], schema)
+
+    files = Files()
+    junit.parse_files(files)
+    body = b"<testsuite>" + b"".join(b'<testcase name="t%d"/>' % k for k in range(100)) + b"</testsuite>"
+    given = pd.DataFrame({"origin": [f"f{k}" for k in range(70)], "content": [body] * 69 + [None]})
+    lots = list(files.run([given]))
+    assert sum(map(len, lots)) == 6901 and max(map(len, lots)) <= 2000
+    assert [c["source_file"] for p in lots for c in p["case"] if c is not None] == [f"f{k}" for k in range(69) for _ in range(100)]
