@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Policy
@@ -131,8 +131,24 @@ def listing(events: DataFrame, identities: DataFrame, now: Column, days: int = 3
     """Quarantines with the names of their tests, by expiry and record; expiring says which end within so many days."""
     rows = latest_state(events)
     rows = rows.filter(is_open(F.col("state"))) if open_only else rows
+    return _listed(rows, identities, now, days).orderBy("expires_at", "record_id")
+
+
+def _listed(rows: DataFrame, identities: DataFrame, now: Column, days: int) -> DataFrame:
     rows = rows.join(identities.select("test_id", "suite_path", "test_name", "parameters"), "test_id")
-    return rows.withColumn("expiring", is_open(F.col("state")) & expiring(F.col("expires_at"), now, days)).orderBy("expires_at", "record_id")
+    return rows.withColumn("expiring", is_open(F.col("state")) & expiring(F.col("expires_at"), now, days))
+
+
+def numbered_listing(events: DataFrame, identities: DataFrame, now: Column, days: int = 3) -> DataFrame:
+    """The open quarantines of listing with their places in it, from 1: numbered day by day, after all of the days before."""
+    rows = latest_state(events).filter(is_open(F.col("state"))).withColumn("day", F.to_date("expires_at"))
+    rows = _listed(rows, identities, now, days)
+    sums = rows.groupBy("day").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("day")) - F.col("n")  # days, not quarantines
+    sums = sums.select(F.col("day").alias("of"), before.alias("before"))
+    own = F.row_number().over(Window.partitionBy("day").orderBy("expires_at", "record_id"))
+    out = rows.withColumn("own", own).join(sums, F.col("day").eqNullSafe(F.col("of")))
+    return out.withColumn("place", F.col("before") + F.col("own")).drop("day", "of", "before", "own")
 
 
 def reason(rows: DataFrame) -> DataFrame:

@@ -497,8 +497,8 @@ def quarantine_listing(spark, d):
         "o_orderkey AS record_id", "o_custkey AS test_id", "CASE o_orderstatus WHEN 'O' THEN 'active' WHEN 'F' THEN 'released' ELSE 'recommended' END AS state", "CAST(o_orderdate AS TIMESTAMP_NTZ) AS expires_at", "1L AS event_no"
     )
     ids = read(spark, d, "customer").selectExpr("c_custkey AS test_id", "'' AS suite_path", "c_name AS test_name", "'' AS parameters")
-    listed = policy.listing(o, ids, F.lit(NOW).cast("timestamp_ntz"), 3).withColumn("k", F.monotonically_increasing_id())
-    return listed.select("record_id", "test_name", "state", "expiring", F.row_number().over(Window.orderBy("k")).cast("long").alias("place"))  # a report
+    listed = policy.numbered_listing(o, ids, F.lit(NOW).cast("timestamp_ntz"), 3)
+    return listed.select("record_id", "test_name", "state", "expiring", "place")
 
 
 @query("SELECT o_orderpriority AS code, array_to_string(list_transform(string_split(replace(substr(o_orderpriority, 3), ' ', '_'), '_'), lambda x: x[1]), '') AS short FROM orders GROUP BY 1, 2")

@@ -267,3 +267,14 @@ def test_reply_schema_and_logs(capsys):
     log.configure()
     log.event("x", "done", n=3)
     assert json.loads(capsys.readouterr().err)["n"] == 3
+
+
+def test_listing_is_numbered_by_days(spark):
+    at = [None if k % 11 == 0 else datetime.datetime(2024, 1, 1 + k * 7 % 5, k % 3) for k in range(60)]
+    events = spark.createDataFrame([(k, k % 4, ("active", "released")[k % 6 == 0], t, 1) for k, t in enumerate(at)], "record_id long, test_id long, state string, expires_at timestamp_ntz, event_no long")
+    ids = spark.createDataFrame([(k, "", f"t{k}", "") for k in range(4)], "test_id long, suite_path string, test_name string, parameters string")
+    got = policy.numbered_listing(events, ids, F.lit(datetime.datetime(2024, 1, 2)).cast("timestamp_ntz"))
+    listed = policy.listing(events, ids, F.lit(datetime.datetime(2024, 1, 2)).cast("timestamp_ntz")).collect()
+    assert [r["record_id"] for r in got.orderBy("place").collect()] == [r["record_id"] for r in listed]
+    assert sorted(r["place"] for r in got.collect()) == list(range(1, len(listed) + 1))
+    assert "windowspecdefinition(day" in got._jdf.queryExecution().executedPlan().toString()  # no task has all rows
